@@ -80,12 +80,13 @@ def fill_grid(df: DataFrame, grid: Grid = HOURLY, fill: float | None = None) ->
         .withColumn("_until", F.coalesce(following - 1, F.col(SLOT)))
         .withColumn("_at", F.explode(F.sequence(SLOT, "_until")))
     )
-    day = F.col("_at") if not grid.hour else F.floor(F.col("_at") / 24)
+    hour = F.pmod(F.col("_at"), F.lit(24))
+    day = (F.col("_at") - hour) / 24 if grid.hour else F.col("_at")
     value = F.when(F.col("_at") == F.col(SLOT), F.col("_value"))
     value = value.otherwise(F.lit(fill).cast("double"))
     columns = [*grid.keys, F.date_from_unix_date(day.cast("int")).alias(grid.date)]
     if grid.hour:
-        columns.append(F.pmod(F.col("_at"), F.lit(24)).cast("int").alias(grid.hour))
+        columns.append(hour.cast("int").alias(grid.hour))
     return filled.select(*columns, value.alias(grid.value))
 
 
