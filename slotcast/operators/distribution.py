@@ -37,7 +37,7 @@ def histogram(totals: DataFrame, value: str = "total") -> DataFrame:
     known = totals.filter(F.col(value).isNotNull()).withColumns(
         {"_low": low, "_high": high, "_q": quartiles, "_n": F.count(value).over(group)}
     )
-    width = 2 * (F.col("_q")[1] - F.col("_q")[0]) / F.cbrt(F.col("_n"))
+    width = 2 * (F.col("_q")[1] - F.col("_q")[0]) * F.pow(F.col("_n"), F.lit(-1.0 / 3.0))
     span = F.col("_high") - F.col("_low")
     bins = F.when((width > 0) & (span > 0), F.ceil(span / F.nullif(width, F.lit(0.0))))
     # A group of equal values gets one bin of width 1 around them.

@@ -26,6 +26,7 @@ WEEKLY_LAGS = ["lag_1w", "lag_2w", "lag_3w", "lag_4w"]
 DAY_LAGS = ["lag_24h", "lag_48h", "lag_72h"]
 ROLLING = [f"roll_mean_{n}h" for n in WIDTHS]
 SAME_HOUR = ["same_hour_mean_2w", "same_hour_mean_3w", "same_hour_mean_4w", "same_hour_wavg_4w"]
+LAG_FEATURES = [*WEEKLY_LAGS, *DAY_LAGS, *ROLLING, *SAME_HOUR]
 CODES = {"service_id": "service_code", "sector": "sector_code"}
 # Weights of the last four weeks.
 WEEK_WEIGHTS = {"lag_1w": 0.4, "lag_2w": 0.3, "lag_3w": 0.2, "lag_4w": 0.1}
@@ -42,11 +43,6 @@ def ahead(k: int) -> str:
 TARGETS = [ahead(h) for h in HORIZONS]
 
 
-def lag_features(grid: Grid) -> list[str]:
-    """Names of the fourteen features taken from earlier rows."""
-    return [*WEEKLY_LAGS, *DAY_LAGS, *ROLLING, *SAME_HOUR]
-
-
 def linear_features(grid: Grid) -> list[str]:
     """The nineteen inputs of the linear models."""
     weeks = [past(k) for k in BACK]
@@ -57,7 +53,7 @@ def tree_features(grid: Grid) -> list[str]:
     """The twenty inputs of the weekly-ahead tree models (an hour only where
     the panel has one)."""
     hour = [grid.hour] if grid.hour else []
-    return [*CODES.values(), *hour, "weekday", "month", "day", *lag_features(grid)]
+    return [*CODES.values(), *hour, "weekday", "month", "day", *LAG_FEATURES]
 
 
 def backtest_features(grid: Grid) -> list[str]:
