@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,6 +96,27 @@ def forecast_squared(
 LARGEST_STEP = 0.7
 
 
+# Trees applied in one plan before lineage is cut.
+TREES_PER_PLAN = 50
+
+
+def add_trees(df: DataFrame, trees: Sequence, weights: Sequence[float], name: str,
+              limit: float | None = None) -> DataFrame:
+    """Add to the column ``name`` what each tree gives times its weight, each
+    tree held within plus and minus ``limit``. No shuffle is needed."""
+    for i, (tree, weight) in enumerate(zip(trees, weights)):
+        if i and i % TREES_PER_PLAN == 0:
+            df = checkpointed(df)
+        df = tree.setPredictionCol("_tree").transform(df)
+        step = _bounded("_tree", limit) if limit else F.col("_tree")
+        df = df.withColumn(name, F.col(name) + F.lit(float(weight)) * step).drop("_tree")
+    return df
+
+
+def _bounded(step: str, limit: float):
+    return F.greatest(F.least(F.col(step), F.lit(limit)), F.lit(-limit))
+
+
 @dataclass
 class CountTrees:
     """Trees that add up to the logarithm of the expected count."""
@@ -104,39 +126,31 @@ class CountTrees:
     trees: list
 
     def transform(self, df: DataFrame, name: str) -> DataFrame:
-        """All trees are applied in one projection, with no shuffle."""
-        margin = F.lit(self.start)
-        for i, tree in enumerate(self.trees):
-            df = tree.setPredictionCol(f"_tree_{i}").transform(df)
-            margin = margin + F.lit(self.rate) * _bounded(f"_tree_{i}")
-        return df.withColumn(name, F.exp(margin)).drop(
-            *[f"_tree_{i}" for i in range(len(self.trees))]
-        )
-
-
-def _bounded(step: str):
-    return F.greatest(F.least(F.col(step), F.lit(LARGEST_STEP)), F.lit(-LARGEST_STEP))
+        df = df.withColumn(name, F.lit(self.start))
+        df = add_trees(df, self.trees, [self.rate] * len(self.trees), name, LARGEST_STEP)
+        return df.withColumn(name, F.exp(name))
 
 
-def fit_counts(
-    train: DataFrame, target: str, params: TreeParams = POISSON
-) -> CountTrees:
+def fit_counts(train: DataFrame, target: str, params: TreeParams = POISSON) -> CountTrees:
     """Boosting for the Poisson likelihood, from Spark ML's weighted trees.
 
     With expected count mu, a Newton step for the log of the count is a tree
     fitted to (y - mu) / mu with weight mu: its leaves then hold sum(y - mu) /
-    sum(mu). Lineage is cut every few trees, as each tree builds on the last.
+    sum(mu). A forest of one tree draws the rows and columns. Lineage is cut
+    every few trees, as each tree builds on the last.
     """
     mean = train.agg(F.avg(target)).first()[0] or 0.0
-    start = float(F_log(max(mean, 1e-6)))
-    rows = train.select(VECTOR, F.col(target).cast("double").alias("_y"))
-    rows = rows.withColumn("_margin", F.lit(start))
-    learner = DecisionTreeRegressor(
+    start = math.log(max(mean, 1e-6))
+    rows = train.select(
+        VECTOR, F.col(target).cast("double").alias("_y"), F.lit(start).alias("_margin")
+    )
+    learner = RandomForestRegressor(
         featuresCol=VECTOR, labelCol="_step", weightCol="_mu", predictionCol="_tree",
-        maxDepth=params.depth, minInstancesPerNode=params.leaf_rows,
-        minInfoGain=params.min_gain, seed=params.seed,
+        numTrees=1, bootstrap=False, subsamplingRate=params.row_share,
+        featureSubsetStrategy=str(params.column_share), maxDepth=params.depth,
+        minInstancesPerNode=params.leaf_rows, minInfoGain=params.min_gain,
     )
-    trees = []
+    trees: list = []
     held: list[DataFrame] = []
     for i in range(params.trees):
         if i and i % params.checkpoint_every == 0:
@@ -148,29 +162,15 @@ def fit_counts(
         held.append(rows)
         mu = F.exp("_margin")
         steps = rows.withColumns({"_mu": mu, "_step": (F.col("_y") - mu) / mu})
-        if params.row_share < 1.0:
-            steps = steps.filter(_drawn(params.seed + i, params.row_share))
-        tree = learner.copy({learner.seed: params.seed + i}).fit(steps)
+        tree = learner.setSeed(params.seed + i).fit(steps)
         trees.append(tree)
-        margin = F.col("_margin") + F.lit(params.rate) * _bounded("_tree")
+        margin = F.col("_margin") + F.lit(params.rate) * _bounded("_tree", LARGEST_STEP)
         rows = tree.transform(rows).select(VECTOR, "_y", margin.alias("_margin"))
     for old in held:
         old.unpersist()
     return CountTrees(start, params.rate, trees)
 
 
-def F_log(x: float) -> float:
-    import math
-
-    return math.log(x)
-
-
-def _drawn(seed: int, share: float):
-    """A share of the rows, the same ones whenever a lost task is run again."""
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col("_y"), F.col("_margin")), F.lit(10_000))
-    return bucket < F.lit(int(share * 10_000))
-
-
 def forecast_counts(
     train: DataFrame,
     test: DataFrame,
@@ -251,12 +251,9 @@ def search(
         params = replace(base, **drawn)
         model = squared_trees(params, target).fit(fit_rows)
         rounds = best_round(model.evaluateEachIteration(check, "absolute"), patience)
-        guess = F.lit(0.0)
-        scored = check
-        for i, (tree, weight) in enumerate(zip(model.trees[:rounds], model.treeWeights)):
-            scored = tree.setPredictionCol(f"_tree_{i}").transform(scored)
-            guess = guess + F.lit(weight) * F.col(f"_tree_{i}")
-        figures = errors(F.col(target), not_negative(guess))
+        guess = check.withColumn("_guess", F.lit(0.0))
+        scored = add_trees(guess, model.trees[:rounds], model.treeWeights[:rounds], "_guess")
+        figures = errors(F.col(target), not_negative("_guess"))
         mae = scored.agg(figures["mae"]).first()[0]
         tried.append(Candidate(replace(params, trees=rounds), mae))
     fit_rows.unpersist()
