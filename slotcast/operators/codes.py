@@ -39,9 +39,14 @@ def code_table(df: DataFrame, column: str, code: str) -> DataFrame:
 
 
 def with_codes(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Add a code column for each category column; null gets -1."""
+    """Add a code column for each category column; null gets -1.
+
+    The combinations that occur are taken from the table once and kept, so the
+    work behind ``df`` is not repeated for every column.
+    """
+    occurring = checkpointed(df.select(*columns).distinct())
     coded = df
     for column, code in columns.items():
-        coded = lookup_join(coded, code_table(df, column, code), column)
+        coded = lookup_join(coded, code_table(occurring, column, code), column)
         coded = coded.withColumn(code, F.coalesce(F.col(code), F.lit(-1)))
     return coded
