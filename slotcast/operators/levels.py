@@ -30,10 +30,9 @@ def _unfolded(levels: Levels) -> Column:
     for name, columns in levels.items():
         group = label(*columns) if columns else F.lit(ALL)
         entry = F.struct(F.lit(name).alias("level"), group.alias("group"))
-        known = F.lit(True)
         for column in columns:
-            known = known & F.col(column).isNotNull()
-        entries.append(F.when(known, entry))
+            entry = F.when(F.col(column).isNotNull(), entry)
+        entries.append(entry)
     return F.explode(F.array_compact(F.array(*entries)))
 
 
@@ -46,7 +45,9 @@ def level_sums(
     missing from the sector groups only.
     """
     columns = sorted({c for cs in levels.values() for c in cs})
-    known = df.withColumns(dict(by)).na.drop(subset=list(by)) if by else df
+    known = df.withColumns(dict(by))
+    for key in by:
+        known = known.filter(F.col(key).isNotNull())
     finest = known.groupBy(*columns, *by).agg(
         F.sum(value).alias("total"), F.count(value).alias("n")
     )

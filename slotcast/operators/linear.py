@@ -10,7 +10,6 @@ same job without keys. Only solving those small systems is done in Python.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
@@ -20,7 +19,7 @@ from pyspark.sql import types as T
 
 from slotcast.functions.rows import dot, not_negative
 from slotcast.operators.backtest import predicted
-from slotcast.operators.features import TARGETS
+from slotcast.operators.features import TARGETS, complete
 
 # Directions this much weaker than the strongest one count as linear dependence.
 TOLERANCE = 1e-10
@@ -29,42 +28,62 @@ TOLERANCE = 1e-10
 def moments(
     train: DataFrame, features: Sequence[str], targets: Sequence[str], keys: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per key: the row count, the sums, and the sums of products that
-    least squares needs."""
-    x = [F.col(f).cast("double") for f in features]
-    y = [F.col(t).cast("double") for t in targets]
-    pairs = combinations_with_replacement(x, 2)
-    sums = {
-        "xx": [F.sum(a * b) for a, b in pairs],
-        "xy": [F.sum(a * t) for t in y for a in x],
-        "x": [F.sum(a) for a in x],
-        "y": [F.sum(t) for t in y],
-    }
-    known = train.na.drop(subset=[*keys, *features, *targets])
-    return known.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.array(*columns).alias(name) for name, columns in sums.items()],
+    """(keys, moments): the matrix of sums of products, whose lines are 1 and
+    the features and whose columns are 1, the features and the targets.
+
+    A training row is unfolded into one row per line of the matrix, so that the
+    aggregate has few columns and stays in generated code; one aggregate with a
+    column per product runs some ten times slower.
+    """
+    # Columns keep their names here: each new alias would double the filters
+    # that the planner infers from those on the training rows.
+    lines = [F.lit(1.0), *[F.col(f).cast("double") for f in features]]
+    columns = [F.lit(1.0), *[F.col(c) for c in (*features, *targets)]]
+    unfolded = F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_line"), z.alias("_z")) for i, z in enumerate(lines)
+    ]))
+    known = complete(train, [*keys, *features, *targets])
+    sums = (
+        known.select(*keys, *features, *targets, unfolded)
+        .groupBy(*keys, "_line")
+        .agg(*[F.sum(F.col("_z") * c).alias(f"_s{j}") for j, c in enumerate(columns)])
     )
+    row = F.struct("_line", F.array(*[f"_s{j}" for j in range(len(columns))]).alias("sums"))
+    matrix = F.transform(F.array_sort(F.collect_list(row)), lambda r: r["sums"])
+    return sums.groupBy(*keys).agg(matrix.alias("moments"))
+
+
+def solver(keys: Sequence[str], n: int, intercept: bool):
+    """The function that solves a batch of moment matrices. It refers to nothing
+    outside itself, so workers need numpy and pandas only."""
+    tolerance = TOLERANCE
+
+    def solve(matrix) -> tuple[int, list, list]:
+        whole = np.array([np.asarray(line, dtype=float) for line in matrix])
+        rows, x, y = whole[0, 0], whole[0, 1 : n + 1], whole[0, n + 1 :]
+        gram, cross = whole[1:, 1 : n + 1], whole[1:, n + 1 :]
+        size = np.abs(gram).max(initial=0.0)
+        if intercept:
+            gram = gram - np.outer(x, x) / rows
+            cross = cross - np.outer(x, y) / rows
+        values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+        # Centring leaves rounding of the size of the raw sums.
+        kept = values > max(tolerance * values[-1], 1e-13 * size)
+        inverse = np.where(kept, 1.0 / np.where(kept, values, 1.0), 0.0)
+        weights = (vectors * inverse) @ (vectors.T @ cross)
+        offsets = (y - x @ weights) / rows if intercept else np.zeros(len(y))
+        return int(rows), weights.T.tolist(), offsets.tolist()
 
+    def solve_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = batch[list(keys)].copy()
+            solved = [solve(matrix) for matrix in batch["moments"]]
+            out["rows"] = [rows for rows, _, _ in solved]
+            out["weights"] = [weights for _, weights, _ in solved]
+            out["intercepts"] = [offsets for _, _, offsets in solved]
+            yield out
 
-def solve(row: pd.Series, n: int, m: int, intercept: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of smallest norm among those that fit best, and intercepts."""
-    gram = np.zeros((n, n))
-    gram[np.triu_indices(n)] = row["xx"]
-    gram = gram + np.triu(gram, 1).T
-    cross = np.reshape(row["xy"], (m, n)).T
-    x, y = np.asarray(row["x"]), np.asarray(row["y"])
-    if intercept:
-        gram = gram - np.outer(x, x) / row["rows"]
-        cross = cross - np.outer(x, y) / row["rows"]
-    values, vectors = np.linalg.eigh(gram)
-    # The subtraction above leaves rounding of the size of the raw sums.
-    kept = values > TOLERANCE * max(values[-1], 0.0)
-    kept &= values > 1e-13 * np.max(row["xx"], initial=0.0)
-    inverse = np.where(kept, 1.0 / np.where(kept, values, 1.0), 0.0)
-    weights = (vectors * inverse) @ (vectors.T @ cross)
-    offsets = (y - x @ weights) / row["rows"] if intercept else np.zeros(m)
-    return weights.T, offsets
+    return solve_batches
 
 
 def fit(
@@ -74,10 +93,10 @@ def fit(
     keys: Sequence[str] = (),
     intercept: bool = False,
 ) -> DataFrame:
-    """(\\*keys, rows, weights, intercepts): per key one array of weights and
-    one intercept for each target. No key, no training rows: no row."""
-    n, m = len(features), len(targets)
-    sums = moments(train, features, targets, keys).filter("rows > 0")
+    """(keys, rows, weights, intercepts): per key one array of weights and one
+    intercept for each target. Of all weights that fit best, those of smallest
+    norm are taken. No training rows, no row."""
+    sums = moments(train, features, targets, keys).filter(F.size("moments") > 0)
     weights = T.ArrayType(T.ArrayType(T.DoubleType()))
     schema = T.StructType([
         *[sums.schema[k] for k in keys],
@@ -85,16 +104,7 @@ def fit(
         T.StructField("weights", weights),
         T.StructField("intercepts", T.ArrayType(T.DoubleType())),
     ])
-
-    def solve_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            solved = [solve(row, n, m, intercept) for _, row in batch.iterrows()]
-            out = batch[[*keys, "rows"]].copy()
-            out["weights"] = [[list(w) for w in weights] for weights, _ in solved]
-            out["intercepts"] = [list(offsets) for _, offsets in solved]
-            yield out
-
-    return sums.mapInPandas(solve_batches, schema)
+    return sums.mapInPandas(solver(keys, len(features), intercept), schema)
 
 
 def predict(
@@ -136,7 +146,7 @@ def weight_table(
     targets: Sequence[str] = TARGETS,
     keys: Sequence[str] = (),
 ) -> DataFrame:
-    """(\\*keys, horizon, feature, weight), one row per weight."""
+    """(keys, horizon, feature, weight), one row per weight."""
     name = F.array(*[F.lit(f) for f in features])
     target = F.array(*[F.lit(t) for t in targets])
     by_target = models.select(*keys, F.posexplode("weights").alias("_t", "_w"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from slotcast.functions.checkpoints import checkpointed
 from slotcast.functions.rows import not_negative
 from slotcast.operators.backtest import errors, predicted
-from slotcast.operators.features import HORIZONS, ahead
+from slotcast.operators.features import HORIZONS, ahead, complete
 
 VECTOR = "_features"
 
@@ -83,7 +83,7 @@ def forecast_squared(
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     out = assemble(test, features)
     for h in horizons:
-        known = rows.na.drop(subset=[ahead(h)])
+        known = complete(rows, [ahead(h)])
         model = squared_trees(params, ahead(h)).fit(known)
         model = model.setPredictionCol(predicted(h, method))
         out = model.transform(out)
@@ -185,7 +185,7 @@ def forecast_counts(
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     out = assemble(test, features)
     for h in horizons:
-        known = rows.na.drop(subset=[ahead(h)])
+        known = complete(rows, [ahead(h)])
         out = fit_counts(known, ahead(h), params).transform(out, predicted(h, method))
     rows.unpersist()
     return out.drop(VECTOR)
@@ -242,8 +242,8 @@ def search(
     best number of trees on the validation rows and scored there by mean
     absolute error, with forecasts not below 0."""
     columns = (VECTOR, target)
-    fit_rows = assemble(train, features).select(*columns).na.drop(subset=[target])
-    check = assemble(validation, features).select(*columns).na.drop(subset=[target])
+    fit_rows = assemble(complete(train, [target]), features).select(*columns)
+    check = assemble(complete(validation, [target]), features).select(*columns)
     fit_rows = fit_rows.persist(StorageLevel.MEMORY_AND_DISK)
     check = check.persist(StorageLevel.MEMORY_AND_DISK)
     tried = []
@@ -270,7 +270,7 @@ def refit(
     name: str = "prediction",
 ) -> DataFrame:
     """Fit on all training rows with the chosen settings and forecast the test rows."""
-    rows = assemble(train, features).select(VECTOR, target).na.drop(subset=[target])
+    rows = assemble(complete(train, [target]), features).select(VECTOR, target)
     model = squared_trees(params, target).fit(rows).setPredictionCol(name)
     scored = model.transform(assemble(test, features))
     return scored.withColumn(name, not_negative(name)).drop(VECTOR)
