@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,6 +41,10 @@ def label(*columns: str, sep: str = " - ") -> Column:
     return F.concat_ws(sep, *[F.col(c).cast("string") for c in columns])
 
 
-def dot(weights: Column, features: list[str]) -> Column:
-    """Product of an array of weights and the named columns."""
-    return _sum([weights[i] * F.col(f).cast("double") for i, f in enumerate(features)])
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def dot(weights: str, features: Sequence[str]) -> Column:
+    """Product of an array of weights, given as SQL, and the named columns."""
+    return F.expr(" + ".join(f"{weights}[{i}] * {quoted(f)}" for i, f in enumerate(features)))

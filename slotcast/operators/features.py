@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotcast.functions.dates import calendar_features
-from slotcast.functions.rows import row_mean, weighted_sum
+from slotcast.functions.rows import quoted, row_mean, weighted_sum
 from slotcast.grid import HOURLY, SLOT, Grid
 from slotcast.operators.codes import with_codes
 
@@ -144,8 +144,7 @@ def with_model_features(df: DataFrame, grid: Grid = HOURLY) -> DataFrame:
 def complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows on which all the columns are known. One condition per column, since
     only such conditions reach a Parquet scan and stay cheap to plan with."""
-    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
-    return df.filter(known)
+    return df.filter(" AND ".join(f"{quoted(c)} IS NOT NULL" for c in columns))
 
 
 def _keyed_only(df: DataFrame, grid: Grid, columns: Sequence[str]) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slotcast.functions.rows import dot, not_negative
+from slotcast.functions.rows import dot, not_negative, quoted
 from slotcast.operators.backtest import predicted
 from slotcast.operators.features import TARGETS, complete
 
@@ -37,19 +37,16 @@ def moments(
     """
     # Columns keep their names here: each new alias would double the filters
     # that the planner infers from those on the training rows.
-    lines = [F.lit(1.0), *[F.col(f).cast("double") for f in features]]
-    columns = [F.lit(1.0), *[F.col(c) for c in (*features, *targets)]]
-    unfolded = F.inline(F.array(*[
-        F.struct(F.lit(i).alias("_line"), z.alias("_z")) for i, z in enumerate(lines)
-    ]))
+    columns = ["1D", *[f"double({quoted(c)})" for c in (*features, *targets)]]
+    lines = [f"struct({i} AS _line, {c} AS _z)" for i, c in enumerate(columns[: len(features) + 1])]
+    unfolded = F.expr(f"inline(array({', '.join(lines)}))")
     known = complete(train, [*keys, *features, *targets])
     sums = (
         known.select(*keys, *features, *targets, unfolded)
         .groupBy(*keys, "_line")
-        .agg(*[F.sum(F.col("_z") * c).alias(f"_s{j}") for j, c in enumerate(columns)])
+        .agg(F.expr(f"array({', '.join(f'sum(_z * {c})' for c in columns)})").alias("sums"))
     )
-    row = F.struct("_line", F.array(*[f"_s{j}" for j in range(len(columns))]).alias("sums"))
-    matrix = F.transform(F.array_sort(F.collect_list(row)), lambda r: r["sums"])
+    matrix = F.expr("array_sort(collect_list(struct(_line, sums))).sums")
     return sums.groupBy(*keys).agg(matrix.alias("moments"))
 
 
@@ -128,7 +125,7 @@ def predict(
             "intercepts": F.lit(model["intercepts"]) if model else F.lit(None).cast("array<double>"),
         })
     forecasts = {
-        name: not_negative(dot(F.col("weights")[i], list(features)) + F.col("intercepts")[i])
+        name: not_negative(dot(f"weights[{i}]", features) + F.col("intercepts")[i])
         for i, name in enumerate(names)
     }
     return joined.withColumns(forecasts).drop("weights", "intercepts")
