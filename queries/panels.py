@@ -63,16 +63,16 @@ def daily_dense(spark: SparkSession, sf: str) -> DataFrame:
 
 def suppliers(spark: SparkSession, sf: str) -> DataFrame:
     """The organisation table of L: one row per supplier."""
-    nation = table(spark, sf, "nation").select(
-        F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("sector"),
-        F.col("n_regionkey").alias("r_regionkey"),
-    )
-    region = table(spark, sf, "region").select("r_regionkey", F.col("r_name").alias("unit"))
-    nations = lookup_join(nation, region, "r_regionkey")
-    supplier = table(spark, sf, "supplier")
-    return lookup_join(supplier, nations, "s_nationkey").select(
-        F.col("s_suppkey").alias("service_id"), F.col("s_name").alias("service_name"),
-        "sector", "unit",
+    nation = table(spark, sf, "nation").withColumnRenamed("n_nationkey", "s_nationkey")
+    region = table(spark, sf, "region").withColumnRenamed("r_regionkey", "n_regionkey")
+    return (
+        table(spark, sf, "supplier")
+        .join(nation, "s_nationkey", "left")
+        .join(region, "n_regionkey", "left")
+        .select(
+            F.col("s_suppkey").alias("service_id"), F.col("s_name").alias("service_name"),
+            F.col("n_name").alias("sector"), F.col("r_name").alias("unit"),
+        )
     )
 
 

@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotcast.functions.dates import within
-from slotcast.operators.joins import lookup_join
 from slotcast.operators.levels import BY_SECTOR_AND_CLIENT, OVERALL, Levels, level_sums, mean
 from slotcast.operators.profile import HOURS
-from slotcast.sources.holidays import holiday_calendar, years_of
+from slotcast.sources.holidays import CALENDAR_YEARS, holiday_calendar, year_range
 from slotcast.sources.weather import rained
 
 
 def with_holidays(df: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
-    """Add ``is_holiday`` and ``holiday_name``. The calendar has one row per
-    date, some ten a year, so it is always small enough to broadcast."""
+    """Add ``is_holiday`` and ``holiday_name``. The default calendar spans the
+    years 1900 to 2100, some two thousand rows whatever the size of the table,
+    so it is broadcast and the table is not read for its years first."""
     if calendar is None:
-        calendar = holiday_calendar(years_of(df))
+        calendar = holiday_calendar(year_range(df.sparkSession, *CALENDAR_YEARS))
     joined = df.join(F.broadcast(calendar), "date", "left")
     return joined.withColumn("is_holiday", F.col("holiday_name").isNotNull())
 
@@ -32,8 +32,6 @@ def holiday_contrast(
 
     The panel is summed by day first; the calendar is joined to that.
     """
-    if calendar is None:
-        calendar = holiday_calendar(years_of(panel))
     days = with_holidays(level_sums(panel, {"date": F.col("date")}, levels, value), calendar)
     by_name = days.groupBy("level", "group", "holiday_name").agg(
         F.try_divide(F.sum("total"), F.sum("n")).alias("mean")
@@ -47,10 +45,16 @@ def holiday_contrast(
     )
 
 
-def with_rain(panel: DataFrame, weather: DataFrame, mm: float = 1.0) -> DataFrame:
-    """Add ``rained``; null where the weather has no row for the day."""
-    days = weather.select("date", rained(mm=mm).alias("rained"))
-    return lookup_join(panel, days, "date")
+def with_rain(
+    panel: DataFrame, weather: DataFrame, start: str, end: str, mm: float = 1.0
+) -> DataFrame:
+    """Rows from ``start`` to ``end`` inclusive with ``rained``, null where the
+    weather has no row for the day. The weather side is brought to one row per
+    day of that span, which bounds what is broadcast."""
+    season = F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    days = weather.filter(season).groupBy("date").agg(F.max("precip_mm").alias("precip_mm"))
+    flags = days.select("date", rained(mm=mm).alias("rained"))
+    return panel.filter(season).join(F.broadcast(flags), "date", "left")
 
 
 def rain_contrast(
@@ -69,8 +73,7 @@ def rain_contrast(
     is decided on those sums, so the panel is neither read twice nor joined
     with itself.
     """
-    season = F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
-    days = with_rain(panel.filter(season), weather.filter(season), mm)
+    days = with_rain(panel, weather, start, end, mm)
     wet, dry = F.col("rained"), ~F.col("rained")
     sums = days.groupBy("service_id", "hour").agg(
         F.sum(F.when(wet, F.col(value))).alias("wet_total"),

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slotcast.functions.checkpoints import checkpointed
+
 # Largest dimension, in rows of a few short columns, that is sent to every executor.
 BROADCAST_ROWS = 500_000
 SALTS = 32
@@ -54,14 +56,16 @@ def dimension_enrich(fact: DataFrame, organisation: DataFrame) -> DataFrame:
 
 def common_ids(a: DataFrame, b: DataFrame, key: str = "service_id") -> DataFrame:
     """Ids that occur in both tables, each once. Both sides are reduced to
-    distinct ids before they meet."""
-    return a.select(key).intersect(b.select(key)).filter(F.col(key).isNotNull())
+    distinct ids, partly before any shuffle, and only those meet."""
+    known = F.col(key).isNotNull()
+    ids_a, ids_b = (t.select(key).filter(known).distinct() for t in (a, b))
+    return ids_a.join(ids_b, key, "left_semi")
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, key: str = "service_id") -> DataFrame:
-    """Rows whose id is listed. Many rows of one id are handled by the
-    planner's skew split or, for a short list, by its broadcast."""
-    return df.join(ids, key, "left_semi")
+    """Rows whose id is listed. The list is worked out once and kept, so its
+    size can be checked before the join without doing that work again."""
+    return lookup_join(df, checkpointed(ids.select(key).distinct()), key, "inner")
 
 
 def interval_days(windows: DataFrame) -> DataFrame:

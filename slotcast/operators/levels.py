@@ -3,7 +3,7 @@
 A level is a name and the columns that make its groups: ``overall`` has none,
 ``sector`` has the sector. All levels come from one pass: the panel is first
 summed by all level columns together (partial sums before the shuffle), and
-only that small table is repeated once per level.
+only that small table goes through the grouping sets.
 """
 
 from __future__ import annotations
@@ -24,40 +24,46 @@ BY_UNIT_AND_SECTOR: Levels = {"unit": ("unit",), "unit_sector": ("unit", "sector
 ALL = "all"
 
 
-def _unfolded(levels: Levels) -> Column:
-    """One (level, group) per level; null for a level whose column is null."""
-    entries = []
-    for name, columns in levels.items():
-        group = label(*columns) if columns else F.lit(ALL)
-        entry = F.struct(F.lit(name).alias("level"), group.alias("group"))
-        for column in columns:
-            entry = F.when(F.col(column).isNotNull(), entry)
-        entries.append(entry)
-    return F.explode(F.array_compact(F.array(*entries)))
-
-
 def level_sums(
     df: DataFrame, by: Mapping[str, Column], levels: Levels, value: str = "demand"
 ) -> DataFrame:
-    """(level, group, \\*by, total, n): sum and count of the values present.
+    """(level, group, by, total, n): sum and count of the values present.
 
     Rows whose ``by`` key is null are in no group. A row without a sector is
     missing from the sector groups only.
     """
     columns = sorted({c for cs in levels.values() for c in cs})
+    sets = {name: set(cs) for name, cs in levels.items()}
+    if len({frozenset(s) for s in sets.values()}) < len(sets):
+        raise ValueError("two levels group by the same columns")
     known = df.withColumns(dict(by))
     for key in by:
         known = known.filter(F.col(key).isNotNull())
     finest = known.groupBy(*columns, *by).agg(
         F.sum(value).alias("total"), F.count(value).alias("n")
     )
-    unfolded = finest.select(_unfolded(levels).alias("_in"), *by, "total", "n")
-    return unfolded.groupBy(
-        F.col("_in.level").alias("level"), F.col("_in.group").alias("group"), *by
+    grouped = finest.groupingSets(
+        [[*s, *by] for s in sets.values()], *columns, *by
     ).agg(
+        F.grouping_id().alias("_left_out"),
         F.coalesce(F.sum("total"), F.lit(0.0)).cast("double").alias("total"),
         F.sum("n").alias("n"),
     )
+    # The grouping id has a bit, first column highest, for each column left out.
+    width = len(columns) + len(by)
+    level, group, present = F.lit(None), F.lit(None), F.lit(False)
+    for name, inside in sets.items():
+        left_out = sum(1 << (width - 1 - i) for i, c in enumerate(columns) if c not in inside)
+        here = F.col("_left_out") == left_out
+        level = F.when(here, F.lit(name)).otherwise(level)
+        group = F.when(here, label(*levels[name]) if inside else F.lit(ALL)).otherwise(group)
+        known_here = F.lit(True)
+        for c in inside:
+            known_here = known_here & F.col(c).isNotNull()
+        present = F.when(here, known_here).otherwise(present)
+    return grouped.filter(present).select(
+        level.alias("level"), group.alias("group"), *by, "total", "n"
+    )
 
 
 def mean() -> Column:

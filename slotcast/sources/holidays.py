@@ -20,6 +20,9 @@ FIXED_DATES = (
 # Days from Easter Sunday, name.
 EASTER_DATES = ((-2, "Sexta-feira Santa"),)
 
+# Span of the calendar where no years are given.
+CALENDAR_YEARS = (1900, 2100)
+
 
 def year_range(spark: SparkSession, first: int, last: int) -> DataFrame:
     return spark.range(first, last + 1).select(F.col("id").cast("int").alias("year"))
