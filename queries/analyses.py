@@ -23,6 +23,9 @@ from slotcast.functions.rows import label
 from slotcast.grid import DAILY, Grid, duplicate_slots, fill_grid, missing_slots
 from slotcast.operators import clean, contrast, distribution, joins, series
 from slotcast.operators.levels import BY_SECTOR_AND_UNIT
+from slotcast.sources import demand
+from slotcast.sources.holidays import holiday_calendar, years_of
+from slotcast.sources.weather import PAYLOAD, rained, weather_days
 
 EVENT_GRID = Grid(keys=("service_id", "sector"))
 SUPPLIER_GRID = Grid(keys=("service_id",), hour=None)
@@ -131,6 +134,43 @@ def unit_labels(spark, sf):
     return plain(rows.select("service_id", label("unit", "sector").alias("unit_sector")))
 
 
+def typed_text(spark, sf):
+    """Events written as text, every seventh with a day that does not exist,
+    and typed again."""
+    day = F.when(F.col("event_id") % 7 == 0, F.lit("31/02/2024")).otherwise(
+        F.date_format("ts", "dd/MM/yyyy")
+    )
+    raw = table(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("service_id"), day.alias("date"),
+        F.date_format("ts", "HH:mm").alias("hour"), F.col("value").cast("string").alias("demand"),
+    )
+    typed = demand.typed_demand(raw)
+    return plain(typed.groupBy("date", "hour").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("demand").alias("demand"),
+        F.max("service_id").alias("last_service"),
+    ))
+
+
+def weather_json(spark, sf):
+    """Daily rain packed into one JSON document per month and unpacked again;
+    a month has at most 31 entries."""
+    days = weather(spark, sf).groupBy(F.trunc("date", "month").alias("month")).agg(
+        F.array_sort(F.collect_list(F.struct("date", "precip_mm"))).alias("d")
+    )
+    packed = F.to_json(F.struct(F.struct(
+        F.col("d.date").cast("array<string>").alias("time"),
+        F.col("d.precip_mm").alias("precipitation_sum"),
+    ).alias("daily")))
+    parsed = days.select(F.from_json(packed, PAYLOAD).alias("p")).select("p.daily")
+    return plain(weather_days(parsed).withColumn("rained", rained()))
+
+
+def holiday_dimension(spark, sf):
+    """Holidays of all years from the first to the last shipping day."""
+    days = table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("date"))
+    return plain(holiday_calendar(years_of(days)))
+
+
 # Published dates of Easter Sunday.
 EASTER = {
     1995: "1995-04-16", 1996: "1996-04-07", 1997: "1997-03-30", 1998: "1998-04-12",
@@ -265,6 +305,16 @@ ORACLES = {
     SELECT CAST(x.date AS VARCHAR) AS date, round(demand, 6) AS demand, holiday_name,
            holiday_name IS NOT NULL AS is_holiday
     FROM x LEFT JOIN hol USING (date)""",
+    "typed_text": """
+    SELECT CASE WHEN event_id % 7 <> 0 THEN CAST(CAST(ts AS DATE) AS VARCHAR) END AS date,
+           hour(ts) AS hour, count(*) AS rows, round(sum(value), 6) AS demand,
+           max(user_id) AS last_service
+    FROM events GROUP BY 1, 2""",
+    "weather_json": f"""WITH {WEATHER_SQL}
+    SELECT CAST(date AS VARCHAR) AS date, precip_mm, coalesce(precip_mm > 1, false) AS rained
+    FROM wx""",
+    "holiday_dimension": f"""WITH {HOLIDAYS_SQL}
+    SELECT CAST(date AS VARCHAR) AS date, holiday_name FROM hol""",
     "unit_labels": """
     SELECT s_suppkey AS service_id, r_name || ' - ' || n_name AS unit_sector
     FROM supplier JOIN nation ON s_nationkey = n_nationkey
@@ -277,6 +327,6 @@ QUERIES = {
         dimension_enrich, spike_clean, holiday_contrast, rain_contrast, season_rain_contrast,
         common_services, period_contrast, daily_stats, fd_histogram, smoothed_series,
         outbreak_means, outbreak_labels, daily_grid, grid_gaps, slot_duplicates, holiday_days,
-        unit_labels,
+        unit_labels, typed_text, weather_json, holiday_dimension,
     )
 }

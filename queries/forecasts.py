@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from queries.least_squares_sql import least_squares_sql, product_sql
@@ -133,14 +134,14 @@ def forecast_sample(spark, sf):
 def series_weights(spark, sf):
     models = benchmarks.linear_models(daily_dense(spark, sf), SPANS, DAILY, by_series=True)
     names = features.linear_features(DAILY)
-    return plain(linear.weight_table(models, names, TARGETS, DAILY.keys))
+    return plain(linear.weight_table(models, names, TARGETS, DAILY.keys), 5)
 
 
 def top_weights(spark, sf):
     """Weights of the shared model, largest first within each horizon."""
     models = benchmarks.linear_models(daily_dense(spark, sf), SPANS, DAILY)
     table = linear.weight_table(models, features.linear_features(DAILY), TARGETS)
-    return plain(table).orderBy("horizon", F.desc("weight"))
+    return plain(table, 5).orderBy("horizon", F.desc("weight"))
 
 
 def gbt_forecast(spark, sf):
@@ -270,6 +271,38 @@ def linear_sql(by_series: bool, intercept: bool) -> str:
     f AS (SELECT te.*, {forecasts} FROM te {join})"""
 
 
+def expressed(feature: str) -> dict[str, float]:
+    """A linear input in terms of the independent ones."""
+    if feature.startswith("w_minus_"):
+        return {f"lag_{feature[-1]}w": 1.0}
+    if feature == "roll_mean_3h":
+        return dict.fromkeys(features.DAY_LAGS, 1 / 3)
+    if feature.startswith("same_hour_mean_"):
+        weeks = int(feature[-2])
+        return dict.fromkeys(WEEKLY_LAGS[:weeks], 1 / weeks)
+    return features.WEEK_WEIGHTS if feature == "same_hour_wavg_4w" else {feature: 1.0}
+
+
+def weights_sql(keys) -> str:
+    """Weights of all nineteen inputs. Of all weights that give the same
+    forecasts as those of the independent inputs, w = D' (D D')^-1 b is the
+    shortest, where D holds the inputs in terms of the independent ones."""
+    names = features.linear_features(DAILY)
+    d = np.array([[expressed(f).get(i, 0.0) for f in names] for i in INDEPENDENT])
+    shortest = d.T @ np.linalg.inv(d @ d.T)
+    parts = []
+    for t, target in enumerate(TARGETS):
+        for f, line in zip(names, shortest):
+            total = " + ".join(f"{c!r}::DOUBLE * w_{t}_{i}" for i, c in enumerate(line.tolist()) if c)
+            parts.append(
+                f"SELECT {''.join(f'{k}, ' for k in keys)}'{target}' AS horizon, "
+                f"'{f}' AS feature, round({total}, 5) AS weight FROM ls"
+            )
+    return f"WITH {FEATURES_SQL}, {least_squares_sql('tr', INDEPENDENT, TARGETS, keys)} " + (
+        " UNION ALL ".join(parts)
+    )
+
+
 def benchmark_sql(by_series: bool, intercept: bool) -> str:
     methods = {"baseline": "same_hour_mean_3w", "linear": "p_w_plus_{h}_linear"}
     return f"{linear_sql(by_series, intercept)}, {errors_sql('f', methods)} {COMPARE_SQL}"
@@ -337,6 +370,8 @@ ORACLES = {
     "linear_by_series_rows": f"""{linear_sql(True, False)}
     SELECT service_id, sector, {DATE_SQL},
     {", ".join(f"round(p_w_plus_{h}_linear, 4) AS p_w_plus_{h}_linear" for h in HORIZONS)} FROM f""",
+    "series_weights": weights_sql(["service_id", "sector"]),
+    "top_weights": weights_sql([]),
     "forecast_sample": f"""{linear_sql(False, False)}
     SELECT service_id, sector, {DATE_SQL}, demand, w_minus_1, w_minus_2, w_minus_3, w_minus_4,
     round(same_hour_mean_3w, 5) AS same_hour_mean_3w,

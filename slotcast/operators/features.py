@@ -9,7 +9,6 @@ Lags and rolling means count rows, so they equal time lags on a gap-free grid
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,24 +74,22 @@ def offset_columns(
     return {**{past(k): at(-k) for k in back}, **{ahead(k): at(k) for k in forward}}
 
 
-def lag_columns(grid: Grid) -> dict[str, Column]:
+def lag_columns(grid: Grid, value: str) -> dict[str, Column]:
     """Weekly lags, and lags of one to three days before the one-week lag."""
     window, week = grid.window(), grid.week
-    weekly = {f"lag_{k}w": F.lag(grid.value, k * week).over(window) for k in BACK}
-    daily = {
-        f"lag_{24 * d}h": F.lag(grid.value, week + d * grid.day).over(window) for d in (1, 2, 3)
-    }
+    weekly = {f"lag_{k}w": F.lag(value, k * week).over(window) for k in BACK}
+    daily = {f"lag_{24 * d}h": F.lag(value, week + d * grid.day).over(window) for d in (1, 2, 3)}
     return {**weekly, **daily}
 
 
-def rolling_columns(grid: Grid) -> dict[str, Column]:
+def rolling_columns(grid: Grid, value: str) -> dict[str, Column]:
     """Means of 3, 6 and 24 rows that end one row before the one-week lag; null
     unless all of them are there."""
     columns = {}
     for n in WIDTHS:
         frame = grid.window().rowsBetween(-(grid.week + n), -(grid.week + 1))
-        full = F.count(grid.value).over(frame) == n
-        columns[f"roll_mean_{n}h"] = F.when(full, F.avg(grid.value).over(frame))
+        full = F.count(value).over(frame) == n
+        columns[f"roll_mean_{n}h"] = F.when(full, F.avg(value).over(frame))
     return columns
 
 
@@ -113,23 +110,23 @@ def with_offsets(
 
 
 def with_lags(df: DataFrame, grid: Grid = HOURLY) -> DataFrame:
-    """Lags, rolling means and same-hour means of each series; rows without a
-    complete series key belong to none and get nulls."""
-    slotted = df.withColumn(SLOT, grid.slot())
-    lagged = slotted.withColumns({**lag_columns(grid), **rolling_columns(grid)}).drop(SLOT)
-    return _keyed_only(lagged, grid, [*WEEKLY_LAGS, *DAY_LAGS, *ROLLING]).withColumns(
-        same_hour_columns()
-    )
+    """Lags, rolling means and same-hour means of each series."""
+    return _with_frames(df, grid, {})
 
 
 def with_features(df: DataFrame, grid: Grid = HOURLY) -> DataFrame:
     """Offsets and all series features from one shuffle."""
-    slotted = df.withColumn(SLOT, grid.slot())
-    frames = {**offset_columns(grid), **lag_columns(grid), **rolling_columns(grid)}
-    wide = slotted.withColumns(frames).drop(SLOT)
-    return _keyed_only(wide, grid, [*WEEKLY_LAGS, *DAY_LAGS, *ROLLING]).withColumns(
-        same_hour_columns()
-    )
+    return _with_frames(df, grid, offset_columns(grid))
+
+
+def _with_frames(df: DataFrame, grid: Grid, offsets: dict[str, Column]) -> DataFrame:
+    # Rows without a complete key are no series: their values take no part in
+    # lags, though offsets match them like any other key.
+    keyed = F.expr(" AND ".join(f"{quoted(k)} IS NOT NULL" for k in grid.keys))
+    slotted = df.withColumns({SLOT: grid.slot(), "_keyed": F.when(keyed, F.col(grid.value))})
+    lags = {**lag_columns(grid, "_keyed"), **rolling_columns(grid, "_keyed")}
+    wide = slotted.withColumns({**offsets, **lags})
+    return wide.drop(SLOT, "_keyed").withColumns(same_hour_columns())
 
 
 def with_calendar(df: DataFrame, grid: Grid = HOURLY) -> DataFrame:
@@ -141,12 +138,14 @@ def with_model_features(df: DataFrame, grid: Grid = HOURLY) -> DataFrame:
     return with_calendar(with_features(with_codes(df, CODES), grid), grid)
 
 
+def without_implied(columns: Sequence[str]) -> list[str]:
+    """Leave out the same-hour means, which are known where the weekly lags are."""
+    implied = SAME_HOUR if set(WEEKLY_LAGS) <= set(columns) else []
+    return [c for c in columns if c not in implied]
+
+
 def complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows on which all the columns are known. One condition per column, since
     only such conditions reach a Parquet scan and stay cheap to plan with."""
-    return df.filter(" AND ".join(f"{quoted(c)} IS NOT NULL" for c in columns))
-
-
-def _keyed_only(df: DataFrame, grid: Grid, columns: Sequence[str]) -> DataFrame:
-    keyed = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in grid.keys])
-    return df.withColumns({c: F.when(keyed, F.col(c)) for c in columns})
+    needed = without_implied(columns)
+    return df.filter(" AND ".join(f"{quoted(c)} IS NOT NULL" for c in needed))

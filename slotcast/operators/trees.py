@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotcast.functions.checkpoints import checkpointed
@@ -51,6 +52,17 @@ SQUARED = TreeParams()
 POISSON = TreeParams(trees=1200, rate=0.03, leaf_rows=8, min_gain=0.1)
 
 
+# Models fitted at a time. Each fit is a row of short jobs that leave executors
+# idle between them; the jobs of another fit fill those gaps.
+AT_A_TIME = 5
+
+
+def side_by_side(spark: SparkSession, work: Callable, items: Sequence) -> list:
+    """Results of ``work`` for each item, in order, a few at a time."""
+    with ThreadPool(max(1, min(AT_A_TIME, len(items)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(work), items)
+
+
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Add the feature vector and leave out rows that lack a feature."""
     assembler = VectorAssembler(
@@ -81,13 +93,13 @@ def forecast_squared(
     targets = [ahead(h) for h in horizons]
     rows = assemble(train, features).select(VECTOR, *targets)
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    out = assemble(test, features)
-    for h in horizons:
-        known = complete(rows, [ahead(h)])
-        model = squared_trees(params, ahead(h)).fit(known)
-        model = model.setPredictionCol(predicted(h, method))
-        out = model.transform(out)
+    models = side_by_side(
+        train.sparkSession, lambda t: squared_trees(params, t).fit(complete(rows, [t])), targets
+    )
     rows.unpersist()
+    out = assemble(test, features)
+    for h, model in zip(horizons, models):
+        out = model.setPredictionCol(predicted(h, method)).transform(out)
     clipped = {predicted(h, method): not_negative(predicted(h, method)) for h in horizons}
     return out.withColumns(clipped).drop(VECTOR)
 
@@ -183,11 +195,13 @@ def forecast_counts(
     targets = [ahead(h) for h in horizons]
     rows = assemble(train, features).select(VECTOR, *targets)
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    out = assemble(test, features)
-    for h in horizons:
-        known = complete(rows, [ahead(h)])
-        out = fit_counts(known, ahead(h), params).transform(out, predicted(h, method))
+    models = side_by_side(
+        train.sparkSession, lambda t: fit_counts(complete(rows, [t]), t, params), targets
+    )
     rows.unpersist()
+    out = assemble(test, features)
+    for h, model in zip(horizons, models):
+        out = model.transform(out, predicted(h, method))
     return out.drop(VECTOR)
 
 
@@ -246,16 +260,17 @@ def search(
     check = assemble(complete(validation, [target]), features).select(*columns)
     fit_rows = fit_rows.persist(StorageLevel.MEMORY_AND_DISK)
     check = check.persist(StorageLevel.MEMORY_AND_DISK)
-    tried = []
-    for drawn in draws(candidates, seed, space):
+
+    def attempt(drawn: dict[str, float]) -> Candidate:
         params = replace(base, **drawn)
         model = squared_trees(params, target).fit(fit_rows)
         rounds = best_round(model.evaluateEachIteration(check, "absolute"), patience)
         guess = check.withColumn("_guess", F.lit(0.0))
         scored = add_trees(guess, model.trees[:rounds], model.treeWeights[:rounds], "_guess")
         figures = errors(F.col(target), not_negative("_guess"))
-        mae = scored.agg(figures["mae"]).first()[0]
-        tried.append(Candidate(replace(params, trees=rounds), mae))
+        return Candidate(replace(params, trees=rounds), scored.agg(figures["mae"]).first()[0])
+
+    tried = side_by_side(train.sparkSession, attempt, draws(candidates, seed, space))
     fit_rows.unpersist()
     check.unpersist()
     return sorted(tried, key=lambda c: c.mae)

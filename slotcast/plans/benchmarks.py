@@ -82,8 +82,9 @@ def same_hour_backtest(panel: DataFrame, test: Span, grid: Grid = HOURLY) -> Dat
 
 
 def linear_rows(panel: DataFrame, spans: Spans, grid: Grid = HOURLY) -> tuple[DataFrame, ...]:
-    """Training and test rows with all nineteen inputs and five targets."""
-    rows = complete(with_features(panel, grid), [*linear_features(grid), *TARGETS])
+    """Training and test rows with all nineteen inputs and five targets. Both
+    come from one table with the same conditions, so its shuffle is reused."""
+    rows = complete(with_features(panel, grid), [*grid.keys, *linear_features(grid), *TARGETS])
     return split(rows, spans.train, spans.test, date=grid.date, embargo_days=spans.embargo_days)
 
 
@@ -153,7 +154,8 @@ def tree_rows(
         rows = with_calendar(with_lags(with_codes(known, CODES), grid), grid)
     else:
         rows = complete(with_model_features(panel, grid), OFFSETS)
-    rows = complete(with_recursive_mean(rows, grid), [*tree_features(grid), *TARGETS])
+    needed = [*grid.keys, *tree_features(grid), *TARGETS]
+    rows = complete(with_recursive_mean(rows, grid), needed)
     return split(rows, spans.train, spans.test, date=grid.date, embargo_days=spans.embargo_days)
 
 

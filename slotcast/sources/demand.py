@@ -33,7 +33,11 @@ def read_text_table(
 
 
 def read_demand(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
-    raw = read_text_table(spark, path, DEMAND_COLUMNS, sep)
+    return typed_demand(read_text_table(spark, path, DEMAND_COLUMNS, sep))
+
+
+def typed_demand(raw: DataFrame) -> DataFrame:
+    """Text columns to a demand table; text that does not parse becomes null."""
     return raw.select(
         F.col("service_id").try_cast("long").alias("service_id"),
         parse_day("date").alias("date"),

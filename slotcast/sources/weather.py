@@ -9,8 +9,12 @@ PAYLOAD = "daily struct<time: array<string>, precipitation_sum: array<double>>"
 
 
 def read_weather(spark: SparkSession, path: str) -> DataFrame:
-    """JSON documents with two parallel arrays to one row per day."""
-    payload = spark.read.schema(PAYLOAD).option("multiLine", True).json(path)
+    """Landed JSON responses to one row per day."""
+    return weather_days(spark.read.schema(PAYLOAD).option("multiLine", True).json(path))
+
+
+def weather_days(payload: DataFrame) -> DataFrame:
+    """Two parallel arrays in the struct ``daily`` to one row per day."""
     days = payload.select(
         F.explode(F.arrays_zip("daily.time", "daily.precipitation_sum")).alias("d")
     )
