@@ -8,9 +8,11 @@ from queries.panels import (
     DAILY_SQL,
     HOURLY_SQL,
     SHIPPED_SQL,
+    USERS_SQL,
     WEATHER_SQL,
     daily,
     hourly,
+    hourly_by_user,
     shipped,
     shipped_by_unit,
     suppliers,
@@ -56,17 +58,17 @@ def rain_contrast(spark, sf):
 
 def season_rain_contrast(spark, sf):
     rain = contrast.rain_contrast(
-        hourly(spark, sf), weather(spark, sf), "2024-01-06", "2024-01-19", mm=2.0,
+        hourly_by_user(spark, sf), weather(spark, sf), "2024-01-06", "2024-01-09", mm=1.0,
         common_services_only=True,
     )
     return plain(rain)
 
 
 def common_services(spark, sf):
-    """Rows of suppliers that shipped both in the first and in the last month."""
+    """Rows of suppliers that shipped on two given days of both 1996 and 2001."""
     days = shipped(spark, sf)
-    first = days.filter(F.col("date").between("1995-01-01", "1995-01-31"))
-    last = days.filter(F.col("date").between("2001-09-01", "2001-09-30"))
+    first = days.filter(F.col("date").between("1996-06-04", "1996-06-05"))
+    last = days.filter(F.col("date").between("2001-06-04", "2001-06-05"))
     return plain(joins.keep_ids(days, joins.common_ids(first, last)))
 
 
@@ -193,14 +195,14 @@ t AS (SELECT 'overall' AS level, 'all' AS "group", date, sum(demand) AS total FR
 INSIDE_SQL = " OR ".join(f"date BETWEEN DATE '{a}' AND DATE '{b}'" for a, b in WINDOWS)
 
 
-def rain_sql(where: str, mm: float, common: bool) -> str:
+def rain_sql(panel: str, where: str, mm: float, common: bool) -> str:
     keep = (
         "WHERE service_id IN (SELECT service_id FROM r WHERE rained "
         "INTERSECT SELECT service_id FROM r WHERE NOT rained)" if common else ""
     )
-    return f"""WITH {HOURLY_SQL}, {WEATHER_SQL},
-    r AS (SELECT h.*, coalesce(wx.precip_mm > {mm}, false) AS rained
-          FROM h JOIN wx USING (date) WHERE {where}),
+    return f"""WITH {HOURLY_SQL}, {USERS_SQL}, {WEATHER_SQL},
+    r AS (SELECT {panel}.*, coalesce(wx.precip_mm > {mm}, false) AS rained
+          FROM {panel} JOIN wx USING (date) WHERE {where}),
     k AS (SELECT * FROM r {keep})
     SELECT CAST(s.hour AS BIGINT) AS hour, round(avg(demand) FILTER (rained), 6) AS rain_mean,
            round(avg(demand) FILTER (NOT rained), 6) AS dry_mean
@@ -233,14 +235,16 @@ ORACLES = {
            round(any_value(o.m), 6) AS other_mean
     FROM u LEFT JOIN o ON o.level = u.level AND o."group" = u."group"
     WHERE u.holiday_name IS NOT NULL GROUP BY u.level, u."group", u.holiday_name""",
-    "rain_contrast": rain_sql("date BETWEEN DATE '2024-01-01' AND DATE '2024-12-31'", 1.0, False),
-    "season_rain_contrast": rain_sql("date BETWEEN DATE '2024-01-06' AND DATE '2024-01-19'", 2.0, True),
+    "rain_contrast": rain_sql(
+        "h", "date BETWEEN DATE '2024-01-01' AND DATE '2024-12-31'", 1.0, False),
+    "season_rain_contrast": rain_sql(
+        "u", "date BETWEEN DATE '2024-01-06' AND DATE '2024-01-09'", 1.0, True),
     "common_services": f"""WITH {SHIPPED_SQL}
     SELECT service_id, CAST(date AS VARCHAR) AS date, round(demand, 6) AS demand FROM l
     WHERE service_id IN (
-      SELECT service_id FROM l WHERE date BETWEEN DATE '1995-01-01' AND DATE '1995-01-31'
+      SELECT service_id FROM l WHERE date BETWEEN DATE '1996-06-04' AND DATE '1996-06-05'
       INTERSECT
-      SELECT service_id FROM l WHERE date BETWEEN DATE '2001-09-01' AND DATE '2001-09-30')""",
+      SELECT service_id FROM l WHERE date BETWEEN DATE '2001-06-04' AND DATE '2001-06-05')""",
     "period_contrast": f"""WITH {SHIPPED_SQL},
     u AS (SELECT 'overall' AS level, 'all' AS "group", * FROM l
           UNION ALL SELECT 'sector', sector, * FROM l UNION ALL SELECT 'unit', unit, * FROM l),

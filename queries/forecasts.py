@@ -16,7 +16,7 @@ from queries.panels import (
     suppliers,
 )
 from queries.shape import plain
-from slotcast.grid import DAILY, HOURLY
+from slotcast.grid import DAILY, HOURLY, Grid
 from slotcast.operators import backtest, codes, features, linear, trees
 from slotcast.operators.features import BACK, HORIZONS, TARGETS, WEEKLY_LAGS
 from slotcast.plans import benchmarks
@@ -74,7 +74,9 @@ def baseline_backtest(spark, sf):
 
 def sparse_baseline(spark, sf):
     """Recursive mean on a panel with gaps: only rows with all offsets count."""
-    return plain(benchmarks.recursive_mean_backtest(daily(spark, sf), SPANS.test, DAILY))
+    panel = daily(spark, sf).groupBy("service_id", "date").agg(F.sum("demand").alias("demand"))
+    grid = Grid(keys=("service_id",), hour=None)
+    return plain(benchmarks.recursive_mean_backtest(panel, SPANS.test, grid))
 
 
 def same_hour_backtest(spark, sf):
@@ -339,7 +341,8 @@ ORACLES = {
     c AS (SELECT * FROM o WHERE {TEST_SQL} AND {' IS NOT NULL AND '.join(benchmarks.OFFSETS)} IS NOT NULL),
     {recursive_sql('c')}, {errors_sql('r5', {'baseline': 'p_w_plus_{h}_baseline'})} {SCORES_SQL}""",
     "sparse_baseline": f"""WITH {DAILY_SQL},
-    o AS ({offsets_sql('d', (1, 2), HORIZONS)}),
+    g AS (SELECT service_id, '' AS sector, date, sum(demand) AS demand FROM d GROUP BY ALL),
+    o AS ({offsets_sql('g', (1, 2), HORIZONS)}),
     c AS (SELECT * FROM o WHERE {TEST_SQL} AND {' IS NOT NULL AND '.join(benchmarks.OFFSETS)} IS NOT NULL),
     {recursive_sql('c')}, {errors_sql('r5', {'baseline': 'p_w_plus_{h}_baseline'})} {SCORES_SQL}""",
     "same_hour_backtest": f"""WITH {FEATURES_SQL},

@@ -35,6 +35,18 @@ def hourly(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def hourly_by_user(spark: SparkSession, sf: str) -> DataFrame:
+    """Hourly count of events by user: many services, each seen on few days."""
+    return (
+        table(spark, sf, "events")
+        .groupBy(
+            F.col("user_id").alias("service_id"), F.to_date("ts").alias("date"),
+            F.hour("ts").alias("hour"),
+        )
+        .agg(F.count(F.lit(1)).cast("double").alias("demand"))
+    )
+
+
 def hourly_dense(spark: SparkSession, sf: str) -> DataFrame:
     return fill_grid(hourly(spark, sf), HOURLY, fill=0.0)
 
@@ -90,14 +102,14 @@ def shipped_by_unit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def weather(spark: SparkSession, sf: str) -> DataFrame:
-    """Rain derived from the events of each day: three days in ten have no row
-    or no figure, the others have 0 to 3 mm."""
+    """Rain derived from the events of each day, 0 to 3 mm; to show how gaps
+    are treated, three days of a month have no row and three no figure."""
     errors = F.count(F.when(F.col("event_type") == "error", F.lit(1)))
     days = table(spark, sf, "events").groupBy(F.to_date("ts").alias("date")).agg(
         errors.alias("errors")
     )
-    known = F.when(F.day("date") % 10 != 5, (F.col("errors") % 4).cast("double"))
-    return days.filter(F.day("date") % 10 != 0).select("date", known.alias("precip_mm"))
+    known = F.when(~F.day("date").isin(5, 15, 25), (F.col("errors") % 4).cast("double"))
+    return days.filter(~F.day("date").isin(10, 20, 30)).select("date", known.alias("precip_mm"))
 
 
 HOURLY_SQL = """
@@ -109,6 +121,12 @@ h AS (
          CAST(ts AS DATE) AS date, hour(ts) AS hour, CAST(count(*) AS DOUBLE) AS demand
   FROM events GROUP BY ALL)"""
 
+USERS_SQL = """
+u AS (
+  SELECT user_id AS service_id, CAST(ts AS DATE) AS date, hour(ts) AS hour,
+         CAST(count(*) AS DOUBLE) AS demand
+  FROM events GROUP BY ALL)"""
+
 HOURLY_DENSE_SQL = HOURLY_SQL + """,
 hb AS (
   SELECT service_id, sector, min(date + hour * INTERVAL 1 HOUR) AS lo,
@@ -152,6 +170,6 @@ l AS (
 WEATHER_SQL = """
 wx AS (
   SELECT CAST(ts AS DATE) AS date,
-         CASE WHEN day(CAST(ts AS DATE)) % 10 <> 5
+         CASE WHEN day(CAST(ts AS DATE)) NOT IN (5, 15, 25)
               THEN CAST(count(*) FILTER (event_type = 'error') % 4 AS DOUBLE) END AS precip_mm
-  FROM events WHERE day(CAST(ts AS DATE)) % 10 <> 0 GROUP BY CAST(ts AS DATE))"""
+  FROM events WHERE day(CAST(ts AS DATE)) NOT IN (10, 20, 30) GROUP BY CAST(ts AS DATE))"""
