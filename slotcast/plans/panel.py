@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 
-from slotcast.grid import HOURLY, Grid
+from slotcast.grid import HOURLY, Grid, consolidate
 from slotcast.operators.clean import as_of, repair_spikes
 from slotcast.operators.joins import dimension_enrich
 
@@ -16,10 +18,17 @@ def clean_panel(
     grid: Grid = HOURLY,
     factor: float = 2.0,
     floor: float = 10.0,
+    one_row_per_slot: bool = False,
 ) -> DataFrame:
     """Cut at ``day``, add the organisation of each service, repair spikes.
 
     The cut comes first so that later rows are neither joined nor shuffled.
+    Raw rows of a service and slot are summed, so that a service which holds a
+    third of them shrinks to the calendar before it meets any other row; where
+    slots are known to be unique, ``one_row_per_slot`` saves that shuffle.
     """
-    enriched = dimension_enrich(as_of(demand, day, grid.date), organisation)
+    raw = as_of(demand, day, grid.date)
+    if not one_row_per_slot:
+        raw = consolidate(raw, replace(grid, keys=("service_id",)))
+    enriched = dimension_enrich(raw, organisation)
     return repair_spikes(enriched, grid, factor, floor)

@@ -40,6 +40,16 @@ def test_raw_files_to_clean_panel(spark, tmp_path):
     ]
 
 
+def test_repeated_raw_rows_become_one_slot(spark):
+    demand = panel(spark, [(1, "2024-03-01", 8, 1.0)] * 500 + [(1, "2024-03-08", 8, 3.0)],
+                   "service_id long, date date, hour int, demand double")
+    org = spark.createDataFrame([(1, "a")], "service_id long, sector string")
+    clean = clean_panel(demand, org, "2024-12-31", floor=100.0)
+    assert [r[0] for r in clean.orderBy("date").select("demand").collect()] == [3.0, 3.0]
+    trusted = clean_panel(demand.limit(1), org, "2024-12-31", one_row_per_slot=True)
+    assert trusted.count() == 1
+
+
 def test_weather_arrays(spark, tmp_path):
     body = {"daily": {"time": ["2024-01-01", "2024-01-02", "bad"], "precipitation_sum": [1.5, None, 3]}}
     path = write(tmp_path / "w.json", json.dumps(body, indent=1))
