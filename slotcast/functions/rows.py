@@ -45,6 +45,8 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def dot(weights: str, features: Sequence[str]) -> Column:
-    """Product of an array of weights, given as SQL, and the named columns."""
-    return F.expr(" + ".join(f"{weights}[{i}] * {quoted(f)}" for i, f in enumerate(features)))
+def dot(a: str, b: str) -> Column:
+    """Product of two arrays of doubles, each given as SQL. As one expression
+    over arrays it stays small; written out, nineteen terms for each of five
+    horizons make generated code too large to be compiled, and slower."""
+    return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> x * y), 0D, (s, v) -> s + v)")

@@ -115,20 +115,21 @@ def predict(
     """Add a forecast, not below 0, for each horizon. With keys, rows of a
     series that has no model get null."""
     names = [predicted(h, method) for h in horizons]
+    model = models.select(*keys, F.struct("weights", "intercepts").alias("_model"))
     if keys:
-        joined = df.join(models.select(*keys, "weights", "intercepts"), list(keys), "left")
+        joined = df.join(model, list(keys), "left")
     else:
-        # One row of fixed size; it becomes part of the expression.
-        model = models.select("weights", "intercepts").first()
-        joined = df.withColumns({
-            "weights": F.lit(model["weights"]) if model else F.lit(None).cast("array<array<double>>"),
-            "intercepts": F.lit(model["intercepts"]) if model else F.lit(None).cast("array<double>"),
-        })
+        # At most one row of fixed size. As a subquery it runs within the same
+        # job, so the training rows can share a shuffle with the rows forecast.
+        joined = df.withColumn("_model", model.scalar())
+    inputs = F.array(*[F.col(f).cast("double") for f in features])
     forecasts = {
-        name: not_negative(dot(f"weights[{i}]", features) + F.col("intercepts")[i])
+        name: not_negative(
+            dot(f"_model.weights[{i}]", "_inputs") + F.expr(f"_model.intercepts[{i}]")
+        )
         for i, name in enumerate(names)
     }
-    return joined.withColumns(forecasts).drop("weights", "intercepts")
+    return joined.withColumn("_inputs", inputs).withColumns(forecasts).drop("_model", "_inputs")
 
 
 def keep_scored(models: DataFrame, test: DataFrame, keys: Sequence[str]) -> DataFrame:
