@@ -109,19 +109,20 @@ LARGEST_STEP = 0.7
 
 
 # Trees applied in one plan before lineage is cut.
-TREES_PER_PLAN = 50
+TREES_PER_PLAN = 100
 
 
 def add_trees(df: DataFrame, trees: Sequence, weights: Sequence[float], name: str,
               limit: float | None = None) -> DataFrame:
     """Add to the column ``name`` what each tree gives times its weight, each
     tree held within plus and minus ``limit``. No shuffle is needed."""
+    others = [c for c in df.columns if c != name]
+    step = _bounded("_tree", limit) if limit else F.col("_tree")
     for i, (tree, weight) in enumerate(zip(trees, weights)):
         if i and i % TREES_PER_PLAN == 0:
             df = checkpointed(df)
-        df = tree.setPredictionCol("_tree").transform(df)
-        step = _bounded("_tree", limit) if limit else F.col("_tree")
-        df = df.withColumn(name, F.col(name) + F.lit(float(weight)) * step).drop("_tree")
+        total = F.col(name) + F.lit(float(weight)) * step
+        df = tree.setPredictionCol("_tree").transform(df).select(*others, total.alias(name))
     return df
 
 

@@ -216,7 +216,8 @@ def test_count_trees_beat_the_mean_and_repeat(spark, demand):
     assert mae < 0.8 * naive
 
 
-def test_count_trees_find_group_means(spark):
+def test_count_trees_find_group_means(spark, monkeypatch):
+    monkeypatch.setattr(trees, "TREES_PER_PLAN", 10)
     df = spark.createDataFrame([(float(g), float(y)) for g, ys in ((0, (1, 3)), (1, (8, 12))) for y in ys * 50],
                                "g double, y double")
     params = trees.TreeParams(trees=25, rate=0.3, depth=2, leaf_rows=1, row_share=1.0, column_share=1.0)
