@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotcast.llm import mixing, rules
+from slotcast.llm import mixing, rules, simhash
 from slotcast.llm import sql
 
 
@@ -20,5 +20,13 @@ def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return rules.judge(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op10_quality_rules)}
+def op3_simhash_near_copies(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_copies(table(spark, sf, "documents")).select(
+        "doc_id", "fingerprint", "component_id"
+    )
+
+
+QUERIES = {
+    f.__name__: f for f in (op1_mix_sources, op3_simhash_near_copies, op10_quality_rules)
+}
 ORACLES = sql.ORACLES
