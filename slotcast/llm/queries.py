@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotcast.llm import mixing, rules, simhash
+from slotcast.llm import mixing, rules, simhash, substrings
 from slotcast.llm import sql
 
 
@@ -16,6 +16,10 @@ def op1_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_table(table(spark, sf, "documents"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substrings.span_table(table(spark, sf, "documents")).drop("cuts")
+
+
 def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return rules.judge(table(spark, sf, "documents"))
 
@@ -27,6 +31,8 @@ def op3_simhash_near_copies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_mix_sources, op3_simhash_near_copies, op10_quality_rules)
+    f.__name__: f for f in (
+        op1_mix_sources, op3_simhash_near_copies, op9_suffix_array_dedup, op10_quality_rules,
+    )
 }
 ORACLES = sql.ORACLES
