@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from slotcast.llm import mixing, rules, simhash, substrings
+from slotcast.llm import decontaminate, mixing, rules, simhash, substrings
 from slotcast.llm import sql
 
 
@@ -16,6 +17,14 @@ def op1_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_table(table(spark, sf, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontaminate.hits(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.span_table(table(spark, sf, "documents")).drop("cuts")
 
@@ -32,7 +41,8 @@ def op3_simhash_near_copies(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        op1_mix_sources, op3_simhash_near_copies, op9_suffix_array_dedup, op10_quality_rules,
+        op1_mix_sources, op3_simhash_near_copies, op6_decontamination,
+        op9_suffix_array_dedup, op10_quality_rules,
     )
 }
 ORACLES = sql.ORACLES

@@ -70,4 +70,36 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f
 """
 
-ORACLES: dict[str, str] = {"op1_mix_sources": MIX_SQL, "op10_quality_rules": RULES_SQL}
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    "'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+
+DECONTAMINATION_SQL = f"""
+WITH b AS (SELECT item_id, {_WORDS} AS words FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(len(words), 10) AS n,
+    array_to_string(list_slice(words, i, i + 9), ' ') AS wid
+  FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 8, 2))) AS i FROM b WHERE len(words) > 0)),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS words FROM documents),
+g AS (
+  SELECT r, i, n, array_to_string(list_slice(words, i, i + n - 1), ' ') AS wid
+  FROM (SELECT r, words, n, unnest(range(1, len(words) - n + 2)) AS i
+        FROM d CROSS JOIN (SELECT DISTINCT n FROM win))),
+occ AS (SELECT r, i, g.n, item_id FROM g JOIN win ON g.wid = win.wid AND g.n = win.n),
+w AS (
+  SELECT r, count(DISTINCT p) AS n_hit
+  FROM (SELECT r, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT r, i, n FROM occ)) GROUP BY r),
+it AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM occ) GROUP BY r)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN w USING (r) LEFT JOIN it USING (r)
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_mix_sources": MIX_SQL,
+    "op6_decontamination": DECONTAMINATION_SQL,
+    "op10_quality_rules": RULES_SQL,
+}
