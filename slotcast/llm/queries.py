@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotcast.llm import decontaminate, mixing, rules, simhash, substrings
+from slotcast.llm import decontaminate, mixing, rules, simhash, substrings, toxicity
 from slotcast.llm import sql
+from slotcast.llm.store import fold
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -25,6 +26,15 @@ def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    documents, held_out = table(spark, sf, "documents"), fold(F.col("doc_id"), 3) == 1
+    model = toxicity.fit(documents.filter(~held_out), table(spark, sf, "labels"))
+    return toxicity.score(documents, model).select(
+        "doc_id", held_out.alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.span_table(table(spark, sf, "documents")).drop("cuts")
 
@@ -42,7 +52,7 @@ def op3_simhash_near_copies(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (
         op1_mix_sources, op3_simhash_near_copies, op6_decontamination,
-        op9_suffix_array_dedup, op10_quality_rules,
+        op8_toxicity, op9_suffix_array_dedup, op10_quality_rules,
     )
 }
 ORACLES = sql.ORACLES
