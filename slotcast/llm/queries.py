@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotcast.llm import decontaminate, mixing, rules, simhash, substrings, toxicity
+from slotcast.llm import decontaminate, language, mixing, rules, simhash, substrings, toxicity
 from slotcast.llm import sql
 from slotcast.llm.store import fold
 
@@ -18,6 +18,14 @@ def op1_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_table(table(spark, sf, "documents"))
 
 
+def op4_language(spark: SparkSession, sf: str) -> DataFrame:
+    documents, held_out = table(spark, sf, "documents"), fold(F.col("doc_id"), 4) == 2
+    net = language.fit(documents.filter(~held_out))
+    return language.detect(documents, net).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     found = decontaminate.hits(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return found.select(
@@ -51,7 +59,7 @@ def op3_simhash_near_copies(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        op1_mix_sources, op3_simhash_near_copies, op6_decontamination,
+        op1_mix_sources, op3_simhash_near_copies, op4_language, op6_decontamination,
         op8_toxicity, op9_suffix_array_dedup, op10_quality_rules,
     )
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -39,3 +39,18 @@ def settled_labels(labels: DataFrame, column: str) -> DataFrame:
         .filter(F.col("label") == F.col("most"))
         .select("doc_id", F.col("label").cast("int").alias("label"))
     )
+
+
+def training_rows(documents: DataFrame, labelled: DataFrame, most: Column) -> DataFrame:
+    """(label, text) of the first ``most`` documents of each label in hash order of their ids.
+
+    ``labelled`` has one (doc_id, label) per document. Only ids are ranked; those
+    chosen are at most ``most`` per label, so they are small enough to broadcast.
+    """
+    known = documents.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct().join(labelled, "doc_id")
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = known.withColumn("place", place).filter(F.col("place") <= most).select("doc_id", "label")
+    return (
+        documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+        .groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text")
+    )

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from slotcast.llm.store import settled_labels
+from slotcast.llm.store import settled_labels, training_rows
 
 BUCKETS = 1 << 16
 DIMENSIONS = 4
@@ -168,9 +168,8 @@ def train(bags: list[list[bytes]], labels: np.ndarray, documents: np.ndarray, ro
 
 def _samples(documents: DataFrame, labels: DataFrame, column: str) -> list[tuple]:
     """(label, text of the window, document) of a bounded number of labelled documents."""
-    known = documents.select("doc_id", "text").join(settled_labels(labels, column), "doc_id")
-    first = lambda label, most: known.filter(F.col("label") == label).orderBy(
-        F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(most)
+    most = F.when(F.col("label") == 1, MOST_TOXIC).otherwise(MOST_CLEAN)
+    picked = training_rows(documents, settled_labels(labels, column), most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,7 +186,6 @@ def _samples(documents: DataFrame, labels: DataFrame, column: str) -> list[tuple
                 names=["label", "bags"],
             )
 
-    picked = first(1, MOST_TOXIC).union(first(0, MOST_CLEAN)).select("label", "text")
     return picked.mapInArrow(run, "label int, bags array<string>").collect()
 
 
