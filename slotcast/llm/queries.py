@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotcast.llm import decontaminate, language, mixing, rules, simhash, substrings, toxicity
+from slotcast.llm import decontaminate, language, mixing, quality, rules, simhash, substrings, toxicity
 from slotcast.llm import sql
 from slotcast.llm.store import fold
 
@@ -26,6 +26,15 @@ def op4_language(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
+    known, held_out = quality.statistics(table(spark, sf, "documents")), fold(F.col("doc_id"), 5) == 0
+    score = quality.fit(known.filter(~held_out), table(spark, sf, "labels")).expression()
+    return known.select(
+        "doc_id", held_out.alias("held_out"), score.alias("score"),
+        (score >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     found = decontaminate.hits(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return found.select(
@@ -59,8 +68,8 @@ def op3_simhash_near_copies(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        op1_mix_sources, op3_simhash_near_copies, op4_language, op6_decontamination,
-        op8_toxicity, op9_suffix_array_dedup, op10_quality_rules,
+        op1_mix_sources, op3_simhash_near_copies, op4_language, op5_quality,
+        op6_decontamination, op8_toxicity, op9_suffix_array_dedup, op10_quality_rules,
     )
 }
 ORACLES = sql.ORACLES
