@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotcast.llm import decontaminate, language, mixing, quality, rules, simhash, substrings, toxicity
+from slotcast.llm import chat, decontaminate, language, mixing, quality, rules, simhash, substrings, toxicity
 from slotcast.llm import sql
 from slotcast.llm.store import fold
 
@@ -43,6 +43,13 @@ def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op7_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    given = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    says = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], given.schema)
+    return chat.digests(chat.format_chats(given.union(extra)))
+
+
 def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     documents, held_out = table(spark, sf, "documents"), fold(F.col("doc_id"), 3) == 1
     model = toxicity.fit(documents.filter(~held_out), table(spark, sf, "labels"))
@@ -69,7 +76,8 @@ def op3_simhash_near_copies(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (
         op1_mix_sources, op3_simhash_near_copies, op4_language, op5_quality,
-        op6_decontamination, op8_toxicity, op9_suffix_array_dedup, op10_quality_rules,
+        op6_decontamination, op7_chat_format, op8_toxicity, op9_suffix_array_dedup,
+        op10_quality_rules,
     )
 }
 ORACLES = sql.ORACLES

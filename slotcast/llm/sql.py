@@ -58,15 +58,14 @@ c AS (
     len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
     len(lines) AS n_lines, len(list_filter(words, lambda w: lower(w) IN ({_STOP}))) AS n_stop,
     len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09]*[-*•]'))) AS n_bullets,
-    len(list_filter(words, lambda w:
-      regexp_matches(w, '^\P{{Ll}}*\p{{Lu}}\P{{Ll}}*\p{{Lu}}\P{{Ll}}*\z'))) AS n_shouted
+    len(regexp_extract_all(text, '\p{{Lu}}')) AS n_upper
   FROM d LEFT JOIN cov USING (r)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND word_chars / greatest(n_words, 1) BETWEEN 2 AND 25
     AND n_symbols / greatest(word_chars, 1) <= 0.1 AND n_dup_lines / greatest(n_lines, 1) <= 0.5
     AND n_stop / greatest(n_words, 1) >= 0.02 AND n_bullets / greatest(n_lines, 1) <= 0.9
-    AND n_shouted / greatest(n_words, 1) <= 0.5 AS kept
+    AND n_upper / greatest(word_chars, 1) <= 0.5 AS kept
 FROM f
 """
 
@@ -98,8 +97,24 @@ SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM d LEFT JOIN w USING (r) LEFT JOIN it USING (r)
 """
 
+# The template adds 6, 7 and 4 characters to a turn, and an escape for each control string and backslash.
+CHAT_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(17 + length(role) + length(text)
+    + len(regexp_extract_all(role || ' ' || text, '\\|\[INST\]|\[/INST\]|</s>'))) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
 ORACLES: dict[str, str] = {
     "op1_mix_sources": MIX_SQL,
     "op6_decontamination": DECONTAMINATION_SQL,
+    "op7_chat_format": CHAT_SQL,
     "op10_quality_rules": RULES_SQL,
 }
