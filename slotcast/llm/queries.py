@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotcast.llm import chat, decontaminate, language, mixing, quality, rules, simhash, substrings, toxicity
+from slotcast.llm import chat, decontaminate, language, mixing, quality, rules, simhash, substrings, toxicity, urls
 from slotcast.llm import sql
 from slotcast.llm.store import fold
 
@@ -67,6 +67,17 @@ def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return rules.judge(table(spark, sf, "documents"))
 
 
+# The rules of the url query.
+URL_RULES = (
+    ("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"),
+)
+
+
+def op2_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    rules_ = spark.createDataFrame(URL_RULES, "rule string, verdict string")
+    return urls.judge(table(spark, sf, "pages"), rules_)
+
+
 def op3_simhash_near_copies(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf, "documents")).select(
         "doc_id", "fingerprint", "component_id"
@@ -75,7 +86,7 @@ def op3_simhash_near_copies(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        op1_mix_sources, op3_simhash_near_copies, op4_language, op5_quality,
+        op1_mix_sources, op2_url_filter, op3_simhash_near_copies, op4_language, op5_quality,
         op6_decontamination, op7_chat_format, op8_toxicity, op9_suffix_array_dedup,
         op10_quality_rules,
     )

@@ -97,6 +97,25 @@ SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM d LEFT JOIN w USING (r) LEFT JOIN it USING (r)
 """
 
+# The given pages hold no canonical links and no redirects, so here the method allows what no rule decides;
+# aliases are tested against a plain version in the tests.
+URL_SQL = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS r, page_id,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages),
+rules(domain, prefix, verdict) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'),
+    ('org', '/fr/', 'allow')),
+f AS (
+  SELECT r, domain || prefix AS rule, verdict FROM p JOIN rules
+    ON (host = domain OR ends_with(host, '.' || domain)) AND starts_with(path, prefix)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY length(domain || prefix) DESC, verdict) = 1)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN f USING (r)
+"""
+
 # The template adds 6, 7 and 4 characters to a turn, and an escape for each control string and backslash.
 CHAT_SQL = r"""
 WITH c AS (
@@ -114,6 +133,7 @@ FROM c GROUP BY conv_id
 
 ORACLES: dict[str, str] = {
     "op1_mix_sources": MIX_SQL,
+    "op2_url_filter": URL_SQL,
     "op6_decontamination": DECONTAMINATION_SQL,
     "op7_chat_format": CHAT_SQL,
     "op10_quality_rules": RULES_SQL,
