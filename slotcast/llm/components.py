@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotcast.llm.store import stored
+from slotcast.llm.store import settled, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,6 +32,10 @@ def components(edges: DataFrame) -> DataFrame:
     row. A round is two joins on distributed tables; the number of rounds grows
     with the logarithm of the size. Only counts reach the driver.
     """
+    return settled(edges.sparkSession, lambda: _contract(edges))
+
+
+def _contract(edges: DataFrame) -> DataFrame:
     a, b = F.least("a", "b"), F.greatest("a", "b")
     now = stored(
         edges.filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))

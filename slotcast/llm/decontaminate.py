@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotcast.llm.store import stored
+from slotcast.llm.store import settled, stored
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -136,7 +136,7 @@ def _hit_rows(documents: DataFrame, benchmark: DataFrame, window: int) -> DataFr
 
 def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted strings) and contaminated of every row."""
-    found = _hit_rows(documents, benchmark, window)
+    found = settled(documents.sparkSession, lambda: _hit_rows(documents, benchmark, window))
     n_words = F.coalesce(F.regexp_count("text", F.lit(ANY_CASE)), F.lit(0)).cast("long").alias("n_words")
     rows = documents.select("doc_id", n_words, *_keys())
     return rows.join(found, ["id", "h"], "left").select(
@@ -148,6 +148,9 @@ def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``documents`` without the rows that hold a window of the benchmark."""
-    found = occurrences(documents, benchmark, window)[0].select("id", "h").distinct()
+    found = settled(
+        documents.sparkSession,
+        lambda: occurrences(documents, benchmark, window)[0].select("id", "h").distinct(),
+    )
     rows = documents.select(F.struct("*").alias("row"), *_keys())
     return rows.join(found, ["id", "h"], "left_anti").select("row.*")

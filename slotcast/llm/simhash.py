@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from slotcast.llm.components import components
-from slotcast.llm.store import stored
+from slotcast.llm.store import settled, stored
 
 DISTANCE = 3
 SEGMENTS = 4
@@ -221,6 +221,10 @@ def near_copies(documents: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
     ``first`` is true for one (doc_id, key) of each component.
     """
+    return settled(documents.sparkSession, lambda: _near_copies(documents, distance))
+
+
+def _near_copies(documents: DataFrame, distance: int) -> DataFrame:
     keyed = documents.select("doc_id", "text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("key"))
     rows = stored(fingerprints(keyed, "doc_id", "key"))
     lowest = rows.groupBy("fingerprint").agg(

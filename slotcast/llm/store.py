@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextvars import ContextVar
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,14 +19,36 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_OPEN: ContextVar[list[str] | None] = ContextVar("open", default=None)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows of ``df`` written once and read again: lost executors cost a
     read, not the work before it, and branches share the one result."""
     path = f"{shared_folder(df.sparkSession)}/llm-{uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if (paths := _OPEN.get()) is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """The stored result of ``make``; tables that were stored on the way are removed."""
+    paths: list[str] = []
+    token = _OPEN.set(paths)
+    try:
+        result = make()
+        _OPEN.reset(token)
+        token = None
+        return stored(result)
+    finally:
+        if token is not None:
+            _OPEN.reset(token)
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
