@@ -69,3 +69,82 @@ def repeated_bytes(texts, length=400):
         rest = bytes(c for c, x in zip(b, g) if not x)
         found.append((sum(g), spans, hashlib.sha256(rest).hexdigest()))
     return found
+
+
+def cut_text(text, length, starts):
+    """The text without the bytes of repeated strings; characters covered in part stay."""
+    data = text.encode()
+    gone = bytearray(len(data))
+    for i in range(len(data) - length + 1):
+        if len(starts.get(data[i : i + length], ())) > 1:
+            gone[i : i + length] = b"\1" * length
+    left, at = "", 0
+    for c in text:
+        size = len(c.encode())
+        if not all(gone[at : at + size]):
+            left += c
+        at += size
+    return left
+
+
+def cut_texts(texts, length=400):
+    starts = {}
+    for d, t in enumerate(texts):
+        data = (t or "").encode()
+        for i in range(len(data) - length + 1):
+            starts.setdefault(data[i : i + length], []).append((d, i))
+    return [None if t is None else cut_text(t, length, starts) for t in texts]
+
+
+def plain_words(text):
+    found, now = [], ""
+    for c in lower(text or ""):
+        if "0" <= c <= "9" or "a" <= c <= "z" or c >= "\x80":
+            now += c
+        else:
+            found, now = found + [now] * bool(now), ""
+    return found + [now] * bool(now)
+
+
+def benchmark_hits(text, items, window=10):
+    """(n_words, n_hit, sorted item ids) of a text; ``items`` are (id, text)."""
+    w, hit, ids = plain_words(text), set(), set()
+    for item, item_text in items:
+        words_ = plain_words(item_text)
+        n = min(window, len(words_))
+        for j in range(len(words_) - n + 1) if n else ():
+            for i in range(len(w) - n + 1):
+                if w[i : i + n] == words_[j : j + n]:
+                    hit.update(range(i, i + n))
+                    ids.add("" if item is None else str(item))
+    return len(w), len(hit), sorted(ids)
+
+
+def mix(rows, seed="mix", weights=(5, 2, 1), volume=1.5, most=2):
+    """(doc_id, size, source_size, target, copies) of (doc_id, text, source) rows."""
+    import math
+
+    sized = [(i, len(words(t)), s) for i, t, s in rows]
+    sources = sorted({s for *_, s in sized}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(n for _, n, x in sized if x == s) for s in sources}
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(sources)}
+    capped, level = set(), 0.0
+    while len(capped) < len(sources):
+        level = (volume * sum(total.values()) - sum(most * total[s] for s in capped)) / sum(
+            weight[s] for s in sources if s not in capped
+        )
+        more = {s for s in sources if most * total[s] <= weight[s] * level}
+        if more <= capped:
+            break
+        capped = more
+    found = []
+    for s in sources:
+        target = float(most * total[s]) if s in capped else weight[s] * level
+        rate = target / total[s] if total[s] else 0.0
+        name = f"{seed}:" + ("" if s is None else f"={s}")
+        u = int(hashlib.md5(name.encode()).hexdigest()[:8], 16) / 2**32
+        own = sorted((r for r in sized if r[2] == s), key=lambda r: (-r[1], r[0] is None, r[0] or 0))
+        for k, (i, n, _) in enumerate(own):
+            copies = math.floor((k + 1) * rate + u) - math.floor(k * rate + u)
+            found.append((i, n, total[s], target, copies))
+    return found
