@@ -25,6 +25,7 @@ from slotcast.functions.rows import label
 from slotcast.grid import DAILY, Grid, duplicate_slots, fill_grid, missing_slots
 from slotcast.operators import clean, contrast, distribution, joins, series
 from slotcast.operators.levels import BY_SECTOR_AND_UNIT
+from slotcast.plans import panel
 from slotcast.sources import demand
 from slotcast.sources.holidays import holiday_calendar, years_of
 from slotcast.sources.weather import PAYLOAD, rained, weather_days
@@ -131,22 +132,67 @@ def holiday_days(spark, sf):
     return plain(contrast.with_holidays(days))
 
 
+def holiday_span(spark, sf):
+    """Shipping days moved 110 years back and 110 years ahead, with their holidays."""
+    days = table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("day"))
+    moved = days.select(F.explode(F.array(F.lit(-1320), F.lit(1320))).alias("months"), "day")
+    days = moved.select(F.add_months("day", F.col("months")).alias("date"))
+    return plain(contrast.with_holidays(days.groupBy("date").agg(F.count(F.lit(1)).alias("rows"))))
+
+
 def unit_labels(spark, sf):
     rows = suppliers(spark, sf)
     return plain(rows.select("service_id", label("unit", "sector").alias("unit_sector")))
 
 
-def typed_text(spark, sf):
-    """Events written as text, every seventh with a day that does not exist,
-    and typed again."""
-    day = F.when(F.col("event_id") % 7 == 0, F.lit("31/02/2024")).otherwise(
-        F.date_format("ts", "dd/MM/yyyy")
+def event_text(spark, sf):
+    """Events as raw text: days and hours with one or two digits, some days that
+    do not exist."""
+    short = F.col("event_id") % 2 == 0
+    day = F.when(short, F.date_format("ts", "d/M/yyyy")).otherwise(F.date_format("ts", "dd/MM/yyyy"))
+    hour = F.when(short, F.date_format("ts", "H:m")).otherwise(F.date_format("ts", "HH:mm"))
+    return table(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("service_id"),
+        F.when(F.col("event_id") % 7 == 0, F.lit("31/02/2024")).otherwise(day).alias("date"),
+        hour.alias("hour"), F.col("value").cast("string").alias("demand"),
     )
-    raw = table(spark, sf, "events").select(
-        F.col("user_id").cast("string").alias("service_id"), day.alias("date"),
-        F.date_format("ts", "HH:mm").alias("hour"), F.col("value").cast("string").alias("demand"),
+
+
+def rejected_text(spark, sf):
+    """The raw rows of events with text that does not parse."""
+    user = F.col("service_id").cast("long")
+    raw = event_text(spark, sf).withColumns({
+        "hour": F.when(user % 5 == 0, F.lit("25:00")).otherwise(F.col("hour")),
+        "demand": F.when(user % 3 == 0, F.lit("n/a")).otherwise(F.lit("1")),
+    })
+    rejected = demand.rejected_demand(raw)
+    return plain(rejected.select("service_id", "demand", F.array_join("rejected", ",").alias("rejected")))
+
+
+def clean_panel(spark, sf):
+    """Raw text of events and an organisation of their types to a clean panel;
+    raw rows of one slot stay apart."""
+    kind = F.length("event_type")
+    events = table(spark, sf, "events")
+    text = events.select(
+        kind.cast("string").alias("service_id"),
+        F.when(F.col("event_id") % 7 == 0, F.lit("31/02/2024"))
+        .otherwise(F.date_format("ts", "d/M/yyyy")).alias("date"),
+        F.date_format("ts", "H:m").alias("hour"), F.col("value").cast("string").alias("demand"),
+    )
+    organisation = events.select(
+        kind.cast("long").alias("service_id"), F.concat(F.lit("sector "), kind % 2).alias("sector")
+    ).distinct()
+    panel_ = panel.clean_panel(
+        demand.typed_demand(text), organisation, "2024-01-28", factor=1.5, floor=10.0
     )
-    typed = demand.typed_demand(raw)
+    return plain(panel_.select("service_id", "sector", "date", "hour", "demand"))
+
+
+def typed_text(spark, sf):
+    """Events written as text, with one or two digits, every seventh with a day
+    that does not exist, and typed again."""
+    typed = demand.typed_demand(event_text(spark, sf))
     return plain(typed.groupBy("date", "hour").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("demand").alias("demand"),
         F.max("service_id").alias("last_service"),
@@ -183,6 +229,23 @@ YEAR_DAYS = {
     "09-07": "Independência do Brasil", "10-12": "Nossa Senhora Aparecida", "11-02": "Finados",
     "11-15": "Proclamação da República", "12-25": "Natal",
 }
+# Published dates of Easter Sunday outside the years 1900 to 2100.
+FAR_EASTER = {
+    1885: "1885-04-05", 1886: "1886-04-25", 1887: "1887-04-10", 1888: "1888-04-01",
+    1889: "1889-04-21", 1890: "1890-04-06", 1891: "1891-03-29", 2105: "2105-04-05",
+    2106: "2106-04-18", 2107: "2107-04-10", 2108: "2108-04-01", 2109: "2109-04-21",
+    2110: "2110-04-06", 2111: "2111-03-29",
+}
+# First year of each national holiday that is not older than 1885.
+SINCE = {
+    "01-01": 1890, "04-21": 1933, "05-01": 1925, "09-07": 1890, "10-12": 1980, "11-02": 1890,
+    "11-15": 1890, "12-25": 1922,
+}
+FAR_HOLIDAYS_SQL = "far AS (SELECT date, string_agg(name, '; ' ORDER BY name) AS holiday_name FROM (VALUES " + ", ".join(
+    [f"(DATE '{y}-{d}', '{n}')" for y in FAR_EASTER for d, n in YEAR_DAYS.items() if y >= SINCE[d]]
+    + [f"(DATE '{y}-11-20', 'Dia Nacional de Zumbi e da Consciência Negra')" for y in FAR_EASTER if y >= 2024]
+    + [f"(DATE '{e}' - 2, 'Sexta-feira Santa')" for e in FAR_EASTER.values()]
+) + ") v(date, name) GROUP BY date)"
 HOLIDAYS_SQL = "hol AS (SELECT date, string_agg(name, '; ' ORDER BY name) AS holiday_name FROM (VALUES " + ", ".join(
     [f"(DATE '{y}-{d}', '{n}')" for y in EASTER for d, n in YEAR_DAYS.items()]
     + [f"(DATE '{e}' - 2, 'Sexta-feira Santa')" for e in EASTER.values()]
@@ -309,6 +372,32 @@ ORACLES = {
     SELECT CAST(x.date AS VARCHAR) AS date, round(demand, 6) AS demand, holiday_name,
            holiday_name IS NOT NULL AS is_holiday
     FROM x LEFT JOIN hol USING (date)""",
+    "holiday_span": f"""WITH {FAR_HOLIDAYS_SQL},
+    m AS (SELECT unnest([CAST(l_shipdate AS DATE) - INTERVAL 1320 MONTH,
+                         CAST(l_shipdate AS DATE) + INTERVAL 1320 MONTH]) AS t FROM lineitem),
+    x AS (SELECT CAST(t AS DATE) AS date, count(*) AS rows FROM m GROUP BY ALL)
+    SELECT CAST(x.date AS VARCHAR) AS date, rows, holiday_name, holiday_name IS NOT NULL AS is_holiday
+    FROM x LEFT JOIN far USING (date)""",
+    "rejected_text": """
+    WITH r AS (
+      SELECT CAST(user_id AS VARCHAR) AS service_id, CASE WHEN user_id % 3 = 0 THEN 'n/a' ELSE '1' END AS demand,
+        list_filter([CASE WHEN event_id % 7 = 0 THEN 'date' END, CASE WHEN user_id % 5 = 0 THEN 'hour' END,
+                     CASE WHEN user_id % 3 = 0 THEN 'demand' END], lambda x: x IS NOT NULL) AS bad
+      FROM events)
+    SELECT service_id, demand, array_to_string(bad, ',') AS rejected FROM r WHERE len(bad) > 0""",
+    "clean_panel": """
+    WITH r AS (
+      SELECT CAST(length(event_type) AS BIGINT) AS service_id, CAST(ts AS DATE) AS date,
+        CAST(hour(ts) AS BIGINT) AS hour, value AS demand FROM events
+      WHERE event_id % 7 <> 0 AND CAST(ts AS DATE) <= DATE '2024-01-28'),
+    s AS (SELECT service_id, date, hour, avg(demand) AS m FROM r GROUP BY ALL),
+    n AS (
+      SELECT r.*, a.m AS a, b.m AS b FROM r
+      LEFT JOIN s a ON a.service_id = r.service_id AND a.hour = r.hour AND a.date = r.date - 7
+      LEFT JOIN s b ON b.service_id = r.service_id AND b.hour = r.hour AND b.date = r.date + 7),
+    f AS (SELECT *, CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE (a + b) / 2 END AS ref FROM n)
+    SELECT service_id, 'sector ' || (service_id % 2) AS sector, CAST(date AS VARCHAR) AS date, hour,
+      round(CASE WHEN demand > 1.5 * ref AND demand > 10 THEN ref ELSE demand END, 6) AS demand FROM f""",
     "typed_text": """
     SELECT CASE WHEN event_id % 7 <> 0 THEN CAST(CAST(ts AS DATE) AS VARCHAR) END AS date,
            hour(ts) AS hour, count(*) AS rows, round(sum(value), 6) AS demand,
@@ -331,6 +420,6 @@ QUERIES = {
         dimension_enrich, spike_clean, holiday_contrast, rain_contrast, season_rain_contrast,
         common_services, period_contrast, daily_stats, fd_histogram, smoothed_series,
         outbreak_means, outbreak_labels, daily_grid, grid_gaps, slot_duplicates, holiday_days,
-        unit_labels, typed_text, weather_json, holiday_dimension,
+        holiday_span, unit_labels, rejected_text, clean_panel, typed_text, weather_json, holiday_dimension,
     )
 }

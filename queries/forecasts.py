@@ -25,10 +25,14 @@ SPANS = benchmarks.Spans(train=("1995-01-01", "2000-01-01"), test=("2000-01-01",
 EARLY = benchmarks.Spans(
     train=("1995-01-01", "1999-07-01"), test=("2000-01-01", "2001-01-01"), embargo_days=35
 )
-# Few and small trees: enough to exercise the fit on every run.
-SMALL = trees.TreeParams(trees=4, rate=0.3, depth=3)
-SMALL_COUNTS = trees.TreeParams(trees=4, rate=0.3, depth=3, leaf_rows=8)
-NEAR = (1, 5)
+# Settings of the registered tree query; the published ones are the defaults of
+# the plan. All rows take part in every tree, so that forecasts of the training
+# rows sum to their targets, which SQL can check.
+BALANCED = trees.TreeParams(
+    maxIter=20, stepSize=0.3, maxDepth=4, subsamplingRate=1.0, featureSubsetStrategy=1.0
+)
+# Candidates of one split each, on weekday and month, so that SQL can work them out.
+STUMPS = {"stepSize": [round(0.05 * i, 2) for i in range(1, 11)], "maxDepth": [1]}
 
 SERIES_KEYS = ["service_id", "sector", "date"]
 
@@ -147,29 +151,77 @@ def top_weights(spark, sf):
 
 
 def gbt_forecast(spark, sf):
-    return plain(benchmarks.tree_benchmark(daily_dense(spark, sf), SPANS, DAILY, SMALL, NEAR))
+    """For each horizon the mean forecast of the training rows, before clipping,
+    which a balanced fit makes the mean target, and the errors of the baseline."""
+    train, test = benchmarks.linear_rows(daily_dense(spark, sf), SPANS, DAILY)
+    names = features.linear_features(DAILY)
+    fitted = trees.forecast_squared(train, train, names, BALANCED, clip=False)
+    means = fitted.agg(*[F.avg(backtest.predicted(h, "trees")).alias(f"m{h}") for h in HORIZONS])
+    rows = means.select(F.inline(F.array(*[
+        F.struct(F.lit(h).cast("long").alias("horizon"), F.col(f"m{h}").alias("train_mean")) for h in HORIZONS
+    ])))
+    errors = backtest.score(backtest.with_same_hour_mean(test), ["baseline"])
+    return plain(rows.join(errors, "horizon").drop("method"), 5)
 
 
 def poisson_forecast(spark, sf):
-    return plain(benchmarks.count_tree_benchmark(
-        daily_dense(spark, sf), SPANS, DAILY, SMALL_COUNTS, NEAR
-    ))
+    """For each horizon and input the mean of input times forecast over the
+    training rows. The likelihood is highest where it is that of input times
+    target, which SQL can check."""
+    train, _ = benchmarks.linear_rows(daily_dense(spark, sf), SPANS, DAILY)
+    fitted = trees.forecast_counts(train, train, INDEPENDENT)
+    inputs = {"intercept": F.lit(1.0), **{x: F.col(x) for x in INDEPENDENT}}
+    names = [(h, x) for h in HORIZONS for x in inputs]
+    one = fitted.agg(*[
+        F.avg(inputs[x] * F.col(backtest.predicted(h, "counts"))).alias(f"{h}_{x}") for h, x in names
+    ])
+    return plain(one.select(F.inline(F.array(*[
+        F.struct(F.lit(h).cast("long").alias("horizon"), F.lit(x).alias("input"), F.col(f"{h}_{x}").alias("mean"))
+        for h, x in names
+    ]))), 3)
 
 
 def model_comparison(spark, sf):
-    return plain(benchmarks.three_way_benchmark(
-        daily_dense(spark, sf), EARLY, DAILY, SMALL_COUNTS, NEAR
-    ))
+    """Errors of the recursive mean and of least squares on four weeks, and the
+    mean forecast of the counts model over its training rows."""
+    panel = daily_dense(spark, sf)
+    forecast = benchmarks.three_way_forecast(panel, EARLY, DAILY, features=COUNT_INPUTS)
+    errors = backtest.compare(backtest.score(forecast, ["baseline", "linear"]), "baseline", ["linear"])
+    train, _ = benchmarks.tree_rows(panel, EARLY, DAILY, True)
+    fitted = trees.forecast_counts(train, train, COUNT_INPUTS)
+    one = fitted.agg(*[F.avg(backtest.predicted(h, "counts")).alias(f"m{h}") for h in HORIZONS])
+    means = one.select(F.inline(F.array(*[
+        F.struct(F.lit(h).alias("horizon"), F.col(f"m{h}").alias("counts_train_mean")) for h in HORIZONS
+    ])))
+    return plain(errors.join(means, "horizon"), 4)
 
 
 def gbt_search(spark, sf):
-    """Errors of the held-out year after a search over two candidates."""
-    _, figures = benchmarks.year_backtest(
-        daily_dense(spark, sf), ("1995-01-01", "1999-01-01"), ("1999-01-01", "2000-01-01"),
-        ("2000-01-01", "2001-01-01"), DAILY, candidates=2, patience=2,
-        base=trees.TreeParams(trees=3),
+    """The table of ten candidates of a search, each of a single split."""
+    rows = features.with_calendar(daily_dense(spark, sf), DAILY)
+    fit_rows, check = backtest.split(rows, ("1995-01-01", "1999-01-01"), ("1999-01-01", "2000-01-01"))
+    base = trees.TreeParams(maxIter=1, subsamplingRate=1.0, featureSubsetStrategy=1.0)
+    tried = trees.search(
+        fit_rows, check, ["weekday", "month"], "demand", candidates=10, patience=2, base=base, space=STUMPS
     )
-    return plain(figures)
+    table = trees.candidate_table(spark, tried)
+    return plain(table.select("stepSize", "maxDepth", "maxIter", "mae", "fitted"), 5)
+
+
+def undated_offsets(spark, sf):
+    """Week offsets where some rows have no date."""
+    return plain(features.with_offsets(undated(spark, sf), DAILY))
+
+
+def undated_lags(spark, sf):
+    """Lags of the dated rows where others have no date."""
+    rows = features.with_lags(undated(spark, sf), DAILY)
+    return plain(rows.filter(F.col("date").isNotNull()))
+
+
+def undated(spark, sf):
+    known = F.when(F.day("date") != 13, F.col("date"))
+    return daily(spark, sf).withColumn("date", known)
 
 
 def offsets_sql(panel: str, back, forward) -> str:
@@ -251,6 +303,8 @@ INDEPENDENT = [
     "demand", "lag_1w", "lag_2w", "lag_3w", "lag_4w", "lag_24h", "lag_48h", "lag_72h",
     "roll_mean_6h", "roll_mean_24h",
 ]
+# Inputs of the counts model of the comparison.
+COUNT_INPUTS = ["lag_1w", "lag_2w", "lag_3w", "lag_4w", "lag_24h", "weekday", "month"]
 FEATURES_SQL = f"""{DAILY_DENSE_SQL},
     o AS ({offsets_sql('dd', BACK, HORIZONS)}),
     k AS ({lags_sql('o', 'date', 1)}),
@@ -382,13 +436,70 @@ ORACLES = {
     FROM f ORDER BY service_id, sector, f.date LIMIT 5""",
 }
 
+UNDATED_SQL = f"""{DAILY_SQL},
+    ud AS (SELECT * REPLACE (CASE WHEN day(date) <> 13 THEN date END AS date) FROM d)"""
+STUMP_SIDES = [("isodow(date) - 1", k) for k in range(6)] + [("month(date)", k) for k in range(1, 12)]
+COUNT_ROWS_SQL = f"""{DAILY_DENSE_SQL},
+    o AS ({offsets_sql('dd', (1, 2), HORIZONS)}),
+    c0 AS (SELECT * FROM o WHERE {' IS NOT NULL AND '.join(benchmarks.OFFSETS)} IS NOT NULL),
+    k AS ({lags_sql('c0', 'date', 1)}),
+    c AS (SELECT * FROM k WHERE {' IS NOT NULL AND '.join(
+        [*features.WEEKLY_LAGS, *features.DAY_LAGS, *features.ROLLING])} IS NOT NULL),
+    tr AS (SELECT * FROM c WHERE date >= DATE '1995-01-01' AND date < DATE '1999-07-01' - 35),
+    te AS (SELECT * FROM c WHERE {TEST_SQL})"""
+four_lag = ", ".join(f"{product_sql(WEEKLY_LAGS, h - 1)} AS p_w_plus_{h}_linear" for h in HORIZONS)
+
+ORACLES |= {
+    "undated_offsets": f"""WITH {UNDATED_SQL}, o AS ({offsets_sql('ud', BACK, HORIZONS)})
+    SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM o""",
+    "undated_lags": f"""WITH {UNDATED_SQL}, k AS ({lags_sql('ud', 'date NULLS LAST', 1)}),
+    s AS (SELECT *, {SAME_HOUR_SQL} FROM k)
+    SELECT service_id, sector, {DATE_SQL}, demand,
+    {", ".join(f"round({c}, 6) AS {c}" for c in features.LAG_FEATURES)} FROM s WHERE date IS NOT NULL""",
+    "gbt_forecast": f"""WITH {FEATURES_SQL},
+    {errors_sql('te', {'baseline': 'same_hour_mean_3w'})},
+    m AS (""" + " UNION ALL ".join(
+        f"SELECT {h}::BIGINT AS horizon, avg(w_plus_{h}) AS train_mean FROM tr" for h in HORIZONS
+    ) + """)
+    SELECT horizon, round(train_mean, 5) AS train_mean, round(mae, 5) AS mae, round(mse, 5) AS mse,
+           round(sqrt(mse), 5) AS rmse FROM m JOIN er USING (horizon)""",
+    "poisson_forecast": f"WITH {FEATURES_SQL} " + " UNION ALL ".join(
+        f"SELECT {h}::BIGINT AS horizon, '{x}' AS input, round(avg({'1.0' if x == 'intercept' else x} * w_plus_{h}), 3) AS mean FROM tr"
+        for h in HORIZONS for x in ["intercept", *INDEPENDENT]
+    ),
+    "model_comparison": f"""WITH {COUNT_ROWS_SQL},
+    {least_squares_sql('tr', WEEKLY_LAGS, TARGETS)},
+    {recursive_sql('te')},
+    f AS (SELECT r5.*, {four_lag} FROM r5, ls),
+    {errors_sql('f', {'baseline': 'p_w_plus_{h}_baseline', 'linear': 'p_w_plus_{h}_linear'})},
+    cmp AS ({COMPARE_SQL.replace(', 5)', ', 4)')}),
+    m AS (""" + " UNION ALL ".join(
+        f"SELECT {h}::BIGINT AS horizon, round(avg(w_plus_{h}), 4) AS counts_train_mean FROM tr" for h in HORIZONS
+    ) + """)
+    SELECT cmp.*, counts_train_mean FROM cmp JOIN m USING (horizon)""",
+    "gbt_search": f"""WITH {DAILY_DENSE_SQL},
+    a AS (SELECT * FROM dd WHERE date >= DATE '1995-01-01' AND date < DATE '1999-01-01'),
+    b AS (SELECT * FROM dd WHERE date >= DATE '1999-01-01' AND date < DATE '2000-01-01'),
+    s AS (""" + " UNION ALL ".join(
+        f"SELECT {i} AS i, avg(demand) FILTER ({x} <= {k}) AS l, avg(demand) FILTER ({x} > {k}) AS r, "
+        f"count(*) FILTER ({x} <= {k}) AS n, count(*) FILTER ({x} > {k}) AS m FROM a"
+        for i, (x, k) in enumerate(STUMP_SIDES)
+    ) + f"""),
+    best AS (SELECT * FROM s ORDER BY n * l * l + m * r * r DESC, i LIMIT 1),
+    e AS (SELECT avg(abs(demand - CASE CASE best.i {" ".join(
+        f"WHEN {i} THEN {x} <= {k}" for i, (x, k) in enumerate(STUMP_SIDES))} END
+        WHEN true THEN best.l ELSE best.r END)) AS mae FROM b, best)
+    SELECT step AS "stepSize", 1.0::DOUBLE AS "maxDepth", 1.0::DOUBLE AS "maxIter", round(mae, 5) AS mae, 1::BIGINT AS fitted
+    FROM e, (SELECT CAST(unnest([{", ".join(str(x) for x in STUMPS["stepSize"])}]) AS DOUBLE) AS step)""",
+}
+
 QUERIES = {
     f.__name__: f
     for f in (
         week_offsets, lag_features, rolling_features, same_hour_means, sparse_lags, category_codes,
         calendar_features, baseline_backtest, sparse_baseline, same_hour_backtest, baseline_rows,
         split_rows, four_lag_weights, linear_by_series_rows, forecast_sample, series_weights,
-        top_weights, gbt_forecast, poisson_forecast, model_comparison, gbt_search,
+        top_weights, undated_offsets, undated_lags, gbt_forecast, poisson_forecast, model_comparison, gbt_search,
     )
 } | {
     "linear_global": _linear(False, False),

@@ -2,25 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``.
-
-    A local session without that setting (tests) gets a temporary folder; a
-    cluster without it is an error, since a machine-local folder is lost with
-    the machine.
-    """
-    spark: SparkSession = df.sparkSession
+def with_checkpoint_folder(spark: SparkSession) -> SparkSession:
+    """Sees to it that the context has a folder for checkpoints: the one named by
+    ``spark.checkpoint.dir``, or else one in the warehouse, which the driver and
+    the executors share as well."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="slotcast-checkpoint-")
-        context.setCheckpointDir(folder)
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        context.setCheckpointDir(folder or f"{warehouse}/_checkpoints")
+    return spark
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder. With
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark removes it once
+    nothing refers to it."""
+    with_checkpoint_folder(df.sparkSession)
     return df.checkpoint()

@@ -16,12 +16,13 @@ WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday",
 BUSINESS_DAY, WEEKEND = "Dia útil", "Fim de semana"
 
 
-def parse_day(text: Column | str, fmt: str = "dd/MM/yyyy") -> Column:
-    """Text to date; text that is no date becomes null."""
+def parse_day(text: Column | str, fmt: str = "d/M/yyyy") -> Column:
+    """Text to date, with one or two digits for day and month; text that is no
+    date becomes null."""
     return F.try_to_timestamp(text, F.lit(fmt)).cast("date")
 
 
-def parse_hour(text: Column | str, fmt: str = "HH:mm") -> Column:
+def parse_hour(text: Column | str, fmt: str = "H:m") -> Column:
     return F.hour(F.try_to_timestamp(text, F.lit(fmt)))
 
 

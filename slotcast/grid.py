@@ -44,7 +44,13 @@ class Grid:
 
     def window(self) -> WindowSpec:
         """The one window spec of the library; needs the ``SLOT`` column."""
-        return Window.partitionBy(*self.keys).orderBy(F.col(SLOT))
+        return Window.partitionBy(*self.keys).orderBy(F.col(SLOT).asc_nulls_last())
+
+    def at(self, column: str, steps: int) -> Column:
+        """Value of the slot ``steps`` away, the mean where it has several rows;
+        null where there is none and for rows that have no slot themselves."""
+        near = F.avg(column).over(self.window().rangeBetween(steps, steps))
+        return F.when(F.col(SLOT).isNotNull(), near)
 
 
 HOURLY = Grid()
@@ -66,18 +72,32 @@ def duplicate_slots(df: DataFrame, grid: Grid = HOURLY) -> DataFrame:
     )
 
 
-def fill_grid(df: DataFrame, grid: Grid = HOURLY, fill: float | None = None) -> DataFrame:
+# Longest gap that is filled, in years: a longer one is taken for a mistyped date.
+LONGEST_GAP = 50
+
+
+def fill_grid(
+    df: DataFrame, grid: Grid = HOURLY, fill: float | None = None, longest_gap: int = LONGEST_GAP
+) -> DataFrame:
     """Give every series all slots between its own first and last one.
 
     Each row is repeated up to the slot before its successor, so there is no
     spine table and no join, and what follows in the same series window needs
     no second shuffle. New slots carry ``fill``; other columns of the panel
-    than keys, slot and value are not kept.
+    than keys, slot and value are not kept. Rows without a slot are left out; a
+    gap of more than ``longest_gap`` years ends the job.
     """
     following = F.lead(SLOT).over(grid.window())
+    gap = F.col("_until") - F.col(SLOT)
+    mistyped = F.concat(F.lit("gap too long to fill, in slots: "), gap.cast("string"))
     filled = (
         df.select(*grid.keys, grid.slot().alias(SLOT), F.col(grid.value).alias("_value"))
         .withColumn("_until", F.coalesce(following - 1, F.col(SLOT)))
+        .withColumn(
+            "_until",
+            F.when(gap > longest_gap * 366 * grid.day, F.raise_error(mistyped).cast("long"))
+            .otherwise(F.col("_until")),
+        )
         .withColumn("_at", F.explode(F.sequence(SLOT, "_until")))
     )
     hour = F.pmod(F.col("_at"), F.lit(24))

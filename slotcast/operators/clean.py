@@ -18,15 +18,15 @@ def repair_spikes(
 ) -> DataFrame:
     """Replace a value above ``floor`` and above ``factor`` times the mean of
     the same slot one week before and after by that mean. Raw neighbours are
-    used, and one pass is made.
+    used, and one pass is made. Rows that share a slot are repaired one by one;
+    as a neighbour such a slot counts with the mean of its rows.
 
     The neighbours are two range frames of one window, so the table is shuffled
     once and joined with nothing.
     """
     week = grid.week
     value = F.col(grid.value).cast("double")
-    before = F.max(grid.value).over(grid.window().rangeBetween(-week, -week))
-    after = F.max(grid.value).over(grid.window().rangeBetween(week, week))
+    before, after = grid.at(grid.value, -week), grid.at(grid.value, week)
     near = (
         df.withColumn(SLOT, grid.slot())
         .withColumns({"_before": before, "_after": after})

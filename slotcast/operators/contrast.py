@@ -6,20 +6,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotcast.functions.dates import within
-from slotcast.operators.levels import BY_SECTOR_AND_CLIENT, OVERALL, Levels, level_sums, mean
+from slotcast.operators.levels import (
+    BY_SECTOR_AND_CLIENT,
+    GROUP,
+    KEY,
+    OVERALL,
+    Levels,
+    level_sums,
+    mean,
+)
 from slotcast.operators.profile import HOURS
-from slotcast.sources.holidays import CALENDAR_YEARS, holiday_calendar, year_range
+from slotcast.sources.holidays import holiday_name
 from slotcast.sources.weather import rained
 
 
 def with_holidays(df: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
-    """Add ``is_holiday`` and ``holiday_name``. The default calendar spans the
-    years 1900 to 2100, some two thousand rows whatever the size of the table,
-    so it is broadcast and the table is not read for its years first."""
+    """Add ``is_holiday`` and ``holiday_name``: the national holidays, worked out
+    from each date, or those of a ``calendar`` (date, holiday_name). Names that a
+    calendar has for one date are joined in alphabetical order."""
     if calendar is None:
-        calendar = holiday_calendar(year_range(df.sparkSession, *CALENDAR_YEARS))
-    joined = df.join(F.broadcast(calendar), "date", "left")
-    return joined.withColumn("is_holiday", F.col("holiday_name").isNotNull())
+        named = df.withColumn("holiday_name", holiday_name(F.col("date")))
+    else:
+        names = F.array_sort(F.collect_set("holiday_name"))
+        days = calendar.groupBy("date").agg(F.concat_ws("; ", names).alias("holiday_name"))
+        named = df.join(days, "date", "left")
+    return named.withColumn("is_holiday", F.col("holiday_name").isNotNull())
 
 
 def holiday_contrast(
@@ -33,10 +44,10 @@ def holiday_contrast(
     The panel is summed by day first; the calendar is joined to that.
     """
     days = with_holidays(level_sums(panel, {"date": F.col("date")}, levels, value), calendar)
-    by_name = days.groupBy("level", "group", "holiday_name").agg(
+    by_name = days.groupBy(*GROUP, "holiday_name").agg(
         F.try_divide(F.sum("total"), F.sum("n")).alias("mean")
     )
-    group = Window.partitionBy("level", "group")
+    group = Window.partitionBy(*GROUP)
     other = F.max(F.when(F.col("holiday_name").isNull(), F.col("mean"))).over(group)
     return (
         by_name.withColumn("other_mean", other)
@@ -113,7 +124,7 @@ def period_contrast(
         name: F.max(F.when(F.col("inside") == flag, mean()))
         for name, flag in (("inside_mean", True), ("outside_mean", False))
     }
-    means = sums.groupBy("level", "group").agg(*[c.alias(name) for name, c in side.items()])
+    means = sums.groupBy(*GROUP).agg(*[c.alias(name) for name, c in side.items()]).drop(KEY)
     change = (F.col("inside_mean") - F.col("outside_mean")) / F.col("outside_mean") * 100
     return means.withColumn(
         "change_percent", F.when(F.col("outside_mean") == 0, F.lit(0.0)).otherwise(change)

@@ -9,29 +9,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotcast.operators.levels import BY_SECTOR_AND_UNIT, Levels, level_sums
+from slotcast.operators.levels import BY_SECTOR_AND_UNIT, GROUP, KEY, Levels, group_columns, level_sums
 
 
 def daily_totals(
     panel: DataFrame, levels: Levels = BY_SECTOR_AND_UNIT, value: str = "demand"
 ) -> DataFrame:
-    """(level, group, date, total); a day whose values are all null totals 0."""
+    """(level, group, key, date, total); a day whose values are all null totals 0."""
     sums = level_sums(panel, {"date": F.col("date")}, levels, value)
-    return sums.select("level", "group", "date", "total")
+    return sums.select(*GROUP, "date", "total")
 
 
 def daily_stats(totals: DataFrame) -> DataFrame:
-    return totals.groupBy("level", "group").agg(
+    return totals.groupBy(*group_columns(totals)).agg(
         F.count(F.lit(1)).alias("days"),
         F.avg("total").alias("mean"),
         F.median("total").alias("median"),
-    )
+    ).drop(KEY)
 
 
 def histogram(totals: DataFrame, value: str = "total") -> DataFrame:
     """Counts in bins of equal width by the Freedman-Diaconis rule, empty bins
     included. The last bin is closed; without spread there is one bin."""
-    group = Window.partitionBy("level", "group")
+    keys = group_columns(totals)
+    group = Window.partitionBy(*keys)
     low, high = F.min(value).over(group), F.max(value).over(group)
     quartiles = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).over(group)
     known = totals.filter(F.col(value).isNotNull()).withColumns(
@@ -63,9 +64,9 @@ def histogram(totals: DataFrame, value: str = "total") -> DataFrame:
         "bin", F.col("_guess") - below + above.cast("long")
     )
     shape = ("_bins", "_from", "_to", "_step")
-    counted = binned.groupBy("level", "group", *shape, "bin").agg(F.count(F.lit(1)).alias("days"))
+    counted = binned.groupBy(*keys, *shape, "bin").agg(F.count(F.lit(1)).alias("days"))
     # Each occupied bin also writes the empty ones up to the next occupied bin.
-    order = Window.partitionBy("level", "group").orderBy("bin")
+    order = Window.partitionBy(*keys).orderBy("bin")
     last = F.coalesce(F.lead("bin").over(order), F.col("_bins")) - 1
     every = F.explode(F.sequence(F.col("bin"), F.col("_until")))
     spread = counted.withColumn("_until", last).withColumn("_bin", every)

@@ -22,6 +22,7 @@ HORIZONS = (1, 2, 3, 4, 5)
 BACK = (1, 2, 3, 4)
 WIDTHS = (3, 6, 24)
 
+# Names of the inputs.
 WEEKLY_LAGS = ["lag_1w", "lag_2w", "lag_3w", "lag_4w"]
 DAY_LAGS = ["lag_24h", "lag_48h", "lag_72h"]
 ROLLING = [f"roll_mean_{n}h" for n in WIDTHS]
@@ -68,8 +69,7 @@ def offset_columns(
     """Value of the same slot k weeks before and after, null where there is no
     such row."""
     def at(weeks: int) -> Column:
-        steps = weeks * grid.week
-        return F.max(grid.value).over(grid.window().rangeBetween(steps, steps))
+        return grid.at(grid.value, weeks * grid.week)
 
     return {**{past(k): at(-k) for k in back}, **{ahead(k): at(k) for k in forward}}
 

@@ -7,41 +7,29 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotcast.functions.checkpoints import checkpointed
-
-# Largest dimension, in rows of a few short columns, that is sent to every executor.
-BROADCAST_ROWS = 500_000
-SALTS = 32
-
-
-def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Has the table at most so many rows. The count is spread over all tasks
-    and reads no columns."""
-    return df.count() <= rows
-
 
 def lookup_join(
     fact: DataFrame,
     dim: DataFrame,
     on: str | Sequence[str],
     how: str = "left",
-    broadcast_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
-    """Join a fact with a dimension without depending on how keys are spread.
-
-    A dimension that passes the size check is broadcast. A larger one is
-    repeated ``salts`` times and the rows of each fact key are dealt over the
-    copies, so that a key with a third of the fact is spread over that many
-    tasks. Rows are dealt by a hash of the whole row, which gives the same deal
-    when a lost task is run again. ``how`` is inner or left.
+    """Join a fact with a dimension; nothing is run while the plan is built.
+
+    Whether the dimension is broadcast is left to Spark, which goes by its size
+    in bytes, before the run and again while it runs; a hot key of a shuffled
+    join is split by adaptive execution. A caller who knows of a key that holds
+    much of the fact can ask for ``salts``: the dimension is repeated so many
+    times and the rows of the fact, equal ones too, are dealt over the copies in
+    turn. ``how`` is inner or left.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"how must be inner or left, not {how}")
     keys = [on] if isinstance(on, str) else list(on)
-    if fits(dim, broadcast_rows):
-        return fact.join(F.broadcast(dim), keys, how)
-    deal = F.pmod(F.xxhash64(*fact.columns), F.lit(salts)).cast("int")
+    if salts is None:
+        return fact.join(dim, keys, how)
+    deal = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     joined = fact.withColumn("_salt", deal).join(
         dim.withColumn("_salt", copies), [*keys, "_salt"], how
@@ -64,15 +52,22 @@ def common_ids(a: DataFrame, b: DataFrame, key: str = "service_id") -> DataFrame
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, key: str = "service_id") -> DataFrame:
-    """Rows whose id is listed. The list is worked out once and kept, so its
-    size can be checked before the join without doing that work again."""
-    return lookup_join(df, checkpointed(ids.select(key).distinct()), key, "inner")
+    """Rows whose id is listed."""
+    return df.join(ids.select(key), key, "left_semi")
+
+
+# Longest interval that is unfolded, in days: a longer one is taken for a mistyped date.
+LONGEST_INTERVAL = 36_600
 
 
-def interval_days(windows: DataFrame) -> DataFrame:
+def interval_days(windows: DataFrame, longest: int = LONGEST_INTERVAL) -> DataFrame:
     """Closed intervals (start, end, label) to one row per day and label, so
-    that membership is an equality join and not a comparison of all pairs."""
-    days = F.explode(F.sequence("start", "end"))
+    that membership is an equality join and not a comparison of all pairs. An
+    interval of more than ``longest`` days ends the job."""
+    span = F.datediff("end", "start")
+    mistyped = F.concat(F.lit("interval too long, in days: "), span.cast("string"))
+    end = F.when(span > longest, F.raise_error(mistyped).cast("date")).otherwise(F.col("end"))
+    days = F.explode(F.sequence(F.col("start"), end))
     return windows.filter("start <= end").select(days.alias("date"), "label").distinct()
 
 

@@ -23,11 +23,16 @@ BY_UNIT_AND_SECTOR: Levels = {"unit": ("unit",), "unit_sector": ("unit", "sector
 
 ALL = "all"
 
+# What tells groups apart: labels of several columns may be equal, so the
+# columns' own values stand beside the label as an array of text.
+KEY = "_group"
+GROUP = ("level", "group", KEY)
+
 
 def level_sums(
     df: DataFrame, by: Mapping[str, Column], levels: Levels, value: str = "demand"
 ) -> DataFrame:
-    """(level, group, by, total, n): sum and count of the values present.
+    """(level, group, key, by, total, n): sum and count of the values present.
 
     Rows whose ``by`` key is null are in no group. A row without a sector is
     missing from the sector groups only.
@@ -52,17 +57,21 @@ def level_sums(
     # The grouping id has a bit, first column highest, for each column left out.
     width = len(columns) + len(by)
     level, group, present = F.lit(None), F.lit(None), F.lit(False)
+    key = F.array().cast("array<string>")
     for name, inside in sets.items():
         left_out = sum(1 << (width - 1 - i) for i, c in enumerate(columns) if c not in inside)
         here = F.col("_left_out") == left_out
         level = F.when(here, F.lit(name)).otherwise(level)
         group = F.when(here, label(*levels[name]) if inside else F.lit(ALL)).otherwise(group)
+        if inside:
+            own = F.array(*[F.col(c).cast("string") for c in levels[name]])
+            key = F.when(here, own).otherwise(key)
         known_here = F.lit(True)
         for c in inside:
             known_here = known_here & F.col(c).isNotNull()
         present = F.when(here, known_here).otherwise(present)
     return grouped.filter(present).select(
-        level.alias("level"), group.alias("group"), *by, "total", "n"
+        level.alias("level"), group.alias("group"), key.alias(KEY), *by, "total", "n"
     )
 
 
@@ -75,4 +84,9 @@ def level_means(
     df: DataFrame, by: Mapping[str, Column], levels: Levels, value: str = "demand"
 ) -> DataFrame:
     sums = level_sums(df, by, levels, value)
-    return sums.select("level", "group", *by, mean().alias("mean"))
+    return sums.select(*GROUP, *by, mean().alias("mean"))
+
+
+def group_columns(df: DataFrame) -> list[str]:
+    """The columns among ``GROUP`` that a table has."""
+    return [c for c in GROUP if c in df.columns]

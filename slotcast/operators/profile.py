@@ -12,6 +12,8 @@ from slotcast.operators.levels import (
     BY_SECTOR_AND_CLIENT,
     BY_SECTOR_AND_UNIT,
     BY_UNIT_AND_SECTOR,
+    GROUP,
+    KEY,
     OVERALL,
     Levels,
     level_means,
@@ -30,7 +32,7 @@ def completed(means: DataFrame, position: str, domain: Sequence[int]) -> DataFra
     unfolded again: one shuffle, and no join with a spine.
     """
     inside = means.filter(F.col(position).between(min(domain), max(domain)))
-    folded = inside.groupBy("level", "group").agg(
+    folded = inside.groupBy(*GROUP).agg(
         F.map_from_entries(F.collect_list(F.struct(position, "mean"))).alias("_means"),
         *peak_columns(position),
     )
@@ -91,8 +93,8 @@ def year_profile(
 ) -> DataFrame:
     """Only years that occur; the reference line is the mean of their means."""
     means = level_means(panel, {"year": F.year("date")}, levels, value)
-    group = Window.partitionBy("level", "group")
-    return means.withColumn("reference_mean", F.avg("mean").over(group))
+    group = Window.partitionBy(*GROUP)
+    return means.withColumn("reference_mean", F.avg("mean").over(group)).drop(KEY)
 
 
 def weekday_hour_matrix(
@@ -103,11 +105,11 @@ def weekday_hour_matrix(
     by = {"weekday": F.weekday("date"), "hour": F.col("hour").cast("int")}
     means = level_means(panel, by, levels, value)
     hours = {f"h{h:02d}": F.max(F.when(F.col("hour") == h, F.col("mean"))) for h in HOURS}
-    by_weekday = means.groupBy("level", "group", "weekday").agg(
+    by_weekday = means.groupBy(*GROUP, "weekday").agg(
         *[c.alias(name) for name, c in hours.items()]
     )
     row = F.struct(*hours)
-    folded = by_weekday.groupBy("level", "group").agg(
+    folded = by_weekday.groupBy(*GROUP).agg(
         F.map_from_entries(F.collect_list(F.struct("weekday", row.alias("row")))).alias("_rows")
     )
     spine = F.explode(F.array(*[F.lit(d) for d in range(7)]))

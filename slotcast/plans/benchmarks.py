@@ -36,10 +36,10 @@ from slotcast.operators.features import (
     with_lags,
     with_model_features,
     with_offsets,
+    without_implied,
 )
 from slotcast.operators.linear import fit, keep_scored, predict
 from slotcast.operators.trees import (
-    POISSON,
     SQUARED,
     Candidate,
     TreeParams,
@@ -159,36 +159,52 @@ def tree_rows(
     return split(rows, spans.train, spans.test, date=grid.date, embargo_days=spans.embargo_days)
 
 
-def count_tree_benchmark(
+def count_features(grid: Grid) -> list[str]:
+    """Inputs of the count models, without those that follow from others."""
+    return without_implied(tree_features(grid))
+
+
+def count_benchmark(
     panel: DataFrame,
     spans: Spans = DEFAULT,
     grid: Grid = HOURLY,
-    params: TreeParams = POISSON,
     horizons: Sequence[int] = HORIZONS,
     drop_before_lag: bool = True,
+    features: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Errors per horizon of the recursive mean and of Poisson trees."""
+    """Errors per horizon of the recursive mean and of Poisson regression."""
     train, test = tree_rows(panel, spans, grid, drop_before_lag)
-    forecast = forecast_counts(train, test, tree_features(grid), params, horizons)
-    return compare(score(forecast, ["baseline", "trees"], horizons), "baseline", ["trees"])
+    forecast = forecast_counts(train, test, features or count_features(grid), horizons)
+    return compare(score(forecast, ["baseline", "counts"], horizons), "baseline", ["counts"])
 
 
-def three_way_benchmark(
+def three_way_forecast(
     panel: DataFrame,
     spans: Spans = EARLY_CUT,
     grid: Grid = HOURLY,
-    params: TreeParams = POISSON,
     horizons: Sequence[int] = HORIZONS,
     drop_before_lag: bool = True,
+    features: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Errors per horizon of the recursive mean, of least squares on the last
-    four weeks and of Poisson trees."""
+    """Test rows with the recursive mean, least squares on the last four weeks
+    and Poisson regression."""
     train, test = tree_rows(panel, spans, grid, drop_before_lag)
-    targets = [ahead(h) for h in horizons]
-    models = fit(train, WEEKLY_LAGS, targets)
+    models = fit(train, WEEKLY_LAGS, [ahead(h) for h in horizons])
     linear = predict(test, models, WEEKLY_LAGS, horizons, method="linear")
-    forecast = forecast_counts(train, linear, tree_features(grid), params, horizons)
-    methods = ["baseline", "linear", "trees"]
+    return forecast_counts(train, linear, features or count_features(grid), horizons)
+
+
+def three_way_benchmark(
+    panel: DataFrame,
+    spans: Spans = EARLY_CUT,
+    grid: Grid = HOURLY,
+    horizons: Sequence[int] = HORIZONS,
+    drop_before_lag: bool = True,
+    features: Sequence[str] | None = None,
+) -> DataFrame:
+    """Errors per horizon of the three forecasts."""
+    forecast = three_way_forecast(panel, spans, grid, horizons, drop_before_lag, features)
+    methods = ["baseline", "linear", "counts"]
     return compare(score(forecast, methods, horizons), "baseline", methods[1:])
 
 
@@ -200,7 +216,7 @@ def year_backtest(
     grid: Grid = HOURLY,
     candidates: int = 10,
     patience: int = 100,
-    base: TreeParams = TreeParams(trees=3000),
+    base: TreeParams = TreeParams(maxIter=3000),
 ) -> tuple[list[Candidate], DataFrame]:
     """Search settings on the validation span, refit on both earlier spans, and
     give the errors of the test span beside the candidates tried."""

@@ -22,13 +22,13 @@ def clean_panel(
 ) -> DataFrame:
     """Cut at ``day``, add the organisation of each service, repair spikes.
 
-    The cut comes first so that later rows are neither joined nor shuffled.
-    Raw rows of a service and slot are summed, so that a service which holds a
-    third of them shrinks to the calendar before it meets any other row; where
-    slots are known to be unique, ``one_row_per_slot`` saves that shuffle.
+    The cut comes first so that later rows are neither joined nor shuffled. Raw
+    rows are kept as they are. With ``one_row_per_slot`` those of a service and
+    slot are summed first, with partial sums before the shuffle; that also bounds
+    every series by the calendar, whatever share of the raw rows a service has.
     """
     raw = as_of(demand, day, grid.date)
-    if not one_row_per_slot:
+    if one_row_per_slot:
         raw = consolidate(raw, replace(grid, keys=("service_id",)))
     enriched = dimension_enrich(raw, organisation)
     return repair_spikes(enriched, grid, factor, floor)

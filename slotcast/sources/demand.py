@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotcast.functions.dates import parse_day, parse_hour, since_until
@@ -32,18 +32,41 @@ def read_text_table(
     return raw.select(*[F.col(source).alias(name) for source, name in columns.items()])
 
 
-def read_demand(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
-    return typed_demand(read_text_table(spark, path, DEMAND_COLUMNS, sep))
-
-
-def typed_demand(raw: DataFrame) -> DataFrame:
-    """Text columns to a demand table; text that does not parse becomes null."""
-    return raw.select(
-        F.col("service_id").try_cast("long").alias("service_id"),
-        parse_day("date").alias("date"),
-        parse_hour("hour").alias("hour"),
-        F.col("demand").try_cast("double").alias("demand"),
-    )
+def read_demand(spark: SparkSession, path: str, sep: str = ";", strict: bool = False) -> DataFrame:
+    return typed_demand(read_text_table(spark, path, DEMAND_COLUMNS, sep), strict)
+
+
+def _typed() -> dict[str, Column]:
+    return {
+        "service_id": F.col("service_id").try_cast("long"),
+        "date": parse_day("date"),
+        "hour": parse_hour("hour"),
+        "demand": F.col("demand").try_cast("double"),
+    }
+
+
+def typed_demand(raw: DataFrame, strict: bool = False) -> DataFrame:
+    """Text columns to a demand table. Text that does not parse becomes null, or
+    ends the job where ``strict``; ``rejected_demand`` lists such rows."""
+    columns = _typed()
+    if strict:
+        columns = {
+            name: F.when(
+                value.isNull() & F.col(name).isNotNull(),
+                F.raise_error(F.concat(F.lit(f"{name} does not parse: "), F.col(name))),
+            ).otherwise(value)
+            for name, value in columns.items()
+        }
+    return raw.select(*[value.alias(name) for name, value in columns.items()])
+
+
+def rejected_demand(raw: DataFrame) -> DataFrame:
+    """The raw rows with text that does not parse, and the names of its columns."""
+    failed = F.array_compact(F.array(*[
+        F.when(value.isNull() & F.col(name).isNotNull(), F.lit(name))
+        for name, value in _typed().items()
+    ]))
+    return raw.withColumn("rejected", failed).filter(F.size("rejected") > 0)
 
 
 def read_organisation(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:

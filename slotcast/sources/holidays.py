@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Month, day, name, first year as a national holiday.
@@ -20,10 +20,6 @@ FIXED_DATES = (
 # Days from Easter Sunday, name.
 EASTER_DATES = ((-2, "Sexta-feira Santa"),)
 
-# Span of the calendar where no years are given.
-CALENDAR_YEARS = (1900, 2100)
-
-
 def year_range(spark: SparkSession, first: int, last: int) -> DataFrame:
     return spark.range(first, last + 1).select(F.col("id").cast("int").alias("year"))
 
@@ -37,21 +33,38 @@ def years_of(df: DataFrame, date: str = "date") -> DataFrame:
 
 
 def with_easter(years: DataFrame) -> DataFrame:
+    return years.select("year", easter(F.col("year")).alias("easter"))
+
+
+def _div(value: Column, by: int) -> Column:
+    return F.floor(value / F.lit(by)).cast("int")
+
+
+def easter(year: Column) -> Column:
     """Easter Sunday by the Gregorian computus, as integer column arithmetic."""
-    steps = (
-        ("golden", "year % 19"),
-        ("century", "year div 100"),
-        ("skipped", "century - century div 4 - (century - (century + 8) div 25 + 1) div 3"),
-        ("epact", "(19 * golden + skipped + 15) % 30"),
-        ("weekday", "(32 + 2 * (century % 4) + 2 * (year % 100 div 4) - epact - year % 4) % 7"),
-        ("late", "(golden + 11 * epact + 22 * weekday) div 451"),
-        ("ahead", "epact + weekday - 7 * late + 114"),
-    )
-    df = years
-    for name, step in steps:
-        df = df.withColumn(name, F.expr(step))
-    day = F.expr("make_date(year, int(ahead div 31), int(ahead % 31 + 1))")
-    return df.select("year", day.alias("easter"))
+    golden, century = year % 19, _div(year, 100)
+    skipped = century - _div(century, 4) - _div(century - _div(century + 8, 25) + 1, 3)
+    epact = (19 * golden + skipped + 15) % 30
+    weekday = (32 + 2 * (century % 4) + 2 * _div(year % 100, 4) - epact - year % 4) % 7
+    late = _div(golden + 11 * epact + 22 * weekday, 451)
+    ahead = epact + weekday - 7 * late + 114
+    return F.make_date(year.cast("int"), _div(ahead, 31), (ahead % 31 + 1).cast("int"))
+
+
+def holiday_name(date: Column) -> Column:
+    """The holiday of a date, from the date's own year, so that no calendar and
+    no span of years is needed; null on other days. Names that fall on one date
+    are joined in alphabetical order."""
+    year, month, day = F.year(date), F.month(date), F.day(date)
+    named = [
+        F.when((month == m) & (day == d) & (year >= since), F.lit(name))
+        for m, d, name, since in FIXED_DATES
+    ]
+    named += [
+        F.when(date == F.date_add(easter(year), days), F.lit(name)) for days, name in EASTER_DATES
+    ]
+    names = F.sort_array(F.array_compact(F.array(*named)))
+    return F.when(F.size(names) > 0, F.array_join(names, "; "))
 
 
 def holiday_calendar(years: DataFrame) -> DataFrame:

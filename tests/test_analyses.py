@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from slotcast.grid import DAILY, HOURLY, fill_grid, missing_slots
 from slotcast.operators import contrast, distribution, profile, series
-from slotcast.operators.levels import OVERALL, level_sums
+from slotcast.operators.levels import BY_UNIT_AND_SECTOR, OVERALL, level_sums
 from tests.frames import day, panel, rows
 
 ORG = "service_id long, sector string, client string, unit string, date date, hour int, demand double"
@@ -206,3 +206,14 @@ def test_grid_keeps_null_values(spark):
     p = panel(spark, [(1, "a", "2024-01-01", None), (1, "a", "2024-01-03", 2.0)],
               "service_id long, sector string, date date, demand double")
     assert [r[-1] for r in rows(fill_grid(p, DAILY, fill=0.0), "date")] == [None, 0.0, 2.0]
+
+
+def test_equal_labels_of_different_groups_stay_apart(spark):
+    p = spark.createDataFrame(
+        [("a - b", "c", day("2024-03-01"), 8, 1.0), ("a", "b - c", day("2024-03-01"), 8, 3.0)],
+        "unit string, sector string, date date, hour int, demand double")
+    got = profile.unit_sector_hours(p).filter("level = 'unit_sector' AND hour = 8")
+    assert sorted((r["group"], r["mean"]) for r in got.collect()) == [("a - b - c", 1.0), ("a - b - c", 3.0)]
+    totals = distribution.daily_totals(p, BY_UNIT_AND_SECTOR).filter("level = 'unit_sector'")
+    assert sorted(r["mean"] for r in distribution.daily_stats(totals).collect()) == [1.0, 3.0]
+    assert series.smoothed(totals).count() == 2

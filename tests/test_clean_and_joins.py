@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from slotcast.grid import HOURLY, consolidate, duplicate_slots
+from slotcast.grid import HOURLY, consolidate, duplicate_slots, fill_grid
 from slotcast.operators import joins
 from slotcast.operators.clean import as_of, repair_spikes
 from tests.frames import day, panel, rows
@@ -65,27 +65,44 @@ def test_salted_join_equals_plain_join(spark, how):
         F.col("id").alias("v"))
     dim = spark.range(40).selectExpr("id AS k", "id * 10 AS d").union(
         spark.sql("SELECT 7L AS k, 71L AS d"))
-    salted = joins.lookup_join(fact, dim, "k", how, broadcast_rows=10, salts=8)
+    salted = joins.lookup_join(fact, dim, "k", how, salts=8)
     plain = fact.join(dim, "k", how)
     assert rows(salted, "k", "v", "d") == rows(plain, "k", "v", "d")
 
 
-def test_large_dimension_is_not_broadcast_and_hot_key_is_spread(spark):
-    fact = spark.range(4000).select(F.lit(7).cast("long").alias("k"), F.col("id").alias("v"))
+@pytest.mark.parametrize("equal", [True, False])
+def test_hot_key_is_spread_over_the_copies(spark, equal):
+    """Equal rows too, and rows with a map."""
+    v = F.lit(1) if equal else F.col("id")
+    fact = spark.range(1000).select(F.lit(7).cast("long").alias("k"), F.create_map(v, v).alias("m"))
     dim = spark.range(1000).selectExpr("id AS k", "id AS d")
     keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
     try:
-        joined = joins.lookup_join(fact, dim, "k", broadcast_rows=100, salts=16)
+        joined = joins.lookup_join(fact, dim, "k", salts=16)
         assert "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString()
-        spark.conf.set("spark.sql.adaptive.enabled", False)
         parts = joined.groupBy(F.spark_partition_id()).count().collect()
-        assert len(parts) > 4 and sum(r["count"] for r in parts) == 4000
+        assert len(parts) > 4 and sum(r["count"] for r in parts) == 1000
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", True)
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
 
 
+def test_building_a_plan_starts_no_job(spark):
+    from queries import QUERIES
+
+    tracker = spark.sparkContext.statusTracker()
+    QUERIES["month_profile"](spark, "/root/testdata/sf0.001")  # files are listed and schemas read once
+    spark.sparkContext.setJobGroup("plan", "plan")
+    fact, dim = spark.range(10).selectExpr("id AS k"), spark.range(10).selectExpr("id AS k", "id AS d")
+    joins.lookup_join(fact, dim, "k")
+    joins.lookup_join(fact, dim, "k", salts=4)
+    joins.keep_ids(fact, dim.select("k"), "k")
+    assert tracker.getJobIdsForGroup("plan") == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_small_dimension_is_broadcast(spark):
     fact = spark.range(100).selectExpr("id AS k")
     joined = joins.lookup_join(fact, spark.range(10).selectExpr("id AS k", "id AS d"), "k")
@@ -105,3 +122,30 @@ def test_interval_edges_are_inside(spark):
     w = spark.sql("SELECT date'2024-02-01' AS start, date'2024-04-30' AS end, 'x' AS label")
     got = rows(joins.label_intervals(p, w).select("date", "label"), "date")
     assert [label for _, label in got] == [None, "x", "x", None]
+
+
+def test_intervals_of_a_mistyped_year_end_the_job(spark):
+    w = spark.sql("SELECT date'2024-02-01' AS start, date'9999-04-30' AS end, 'x' AS label")
+    with pytest.raises(Exception, match="interval too long"):
+        joins.interval_days(w).count()
+
+
+def test_a_gap_of_a_mistyped_year_ends_the_job(spark):
+    p = panel(spark, [(1, "a", "2024-03-01", 8, 1.0), (1, "a", "9999-03-01", 8, 1.0)])
+    with pytest.raises(Exception, match="gap too long"):
+        fill_grid(p).count()
+
+
+def test_rows_without_a_slot_have_no_neighbours(spark):
+    p = panel(spark, [(1, "a", "2024-03-01", 8, 1.0), (1, "a", "2024-03-08", 8, 50.0),
+                      (1, "a", "2024-03-15", 8, 1.0)])
+    undated = p.withColumn("date", F.lit(None).cast("date")).withColumn("demand", F.lit(60.0))
+    got = repair_spikes(p.union(undated)).orderBy(F.col("date").asc_nulls_last(), "demand")
+    assert [r["demand"] for r in got.collect()] == [1.0, 1.0, 1.0, 60.0, 60.0, 60.0]
+
+
+def test_a_neighbour_slot_with_several_rows_counts_with_their_mean(spark):
+    p = panel(spark, [(1, "a", "2024-03-01", 8, 2.0), (1, "a", "2024-03-01", 8, 4.0),
+                      (1, "a", "2024-03-08", 8, 50.0), (1, "a", "2024-03-08", 8, 3.0)])
+    got = repair_spikes(p)
+    assert sorted(r["demand"] for r in got.collect()) == [2.0, 3.0, 3.0, 4.0]

@@ -1,11 +1,21 @@
 import datetime as dt
 import json
 
+import pytest
 from dateutil.easter import easter
 from pyspark.sql import functions as F
 
+from slotcast.operators.contrast import with_holidays
 from slotcast.plans.panel import clean_panel
-from slotcast.sources.demand import read_demand, read_organisation, read_panel, write_panel
+from slotcast.sources.demand import (
+    DEMAND_COLUMNS,
+    read_demand,
+    read_organisation,
+    read_panel,
+    read_text_table,
+    rejected_demand,
+    write_panel,
+)
 from slotcast.sources.holidays import holiday_calendar, with_easter, year_range, years_of
 from slotcast.sources.weather import rained, read_weather
 from tests.frames import day, panel, rows
@@ -40,14 +50,41 @@ def test_raw_files_to_clean_panel(spark, tmp_path):
     ]
 
 
-def test_repeated_raw_rows_become_one_slot(spark):
-    demand = panel(spark, [(1, "2024-03-01", 8, 1.0)] * 500 + [(1, "2024-03-08", 8, 3.0)],
+def test_repeated_raw_rows_stay_apart_unless_asked(spark):
+    demand = panel(spark, [(1, "2024-03-01", 8, 5.0), (1, "2024-03-01", 8, 7.0)],
                    "service_id long, date date, hour int, demand double")
     org = spark.createDataFrame([(1, "a")], "service_id long, sector string")
-    clean = clean_panel(demand, org, "2024-12-31", floor=100.0)
-    assert [r[0] for r in clean.orderBy("date").select("demand").collect()] == [3.0, 3.0]
-    trusted = clean_panel(demand.limit(1), org, "2024-12-31", one_row_per_slot=True)
-    assert trusted.count() == 1
+    clean = clean_panel(demand, org, "2024-12-31")
+    assert sorted(r["demand"] for r in clean.collect()) == [5.0, 7.0]
+    summed = clean_panel(demand, org, "2024-12-31", one_row_per_slot=True)
+    assert [r["demand"] for r in summed.collect()] == [12.0]
+
+
+def test_one_digit_dates_and_hours(spark, tmp_path):
+    path = str(tmp_path / "short.csv")
+    with open(path, "w") as f:
+        f.write("idservico;data;hora;consultas\n1;1/2/2024;8:00;3\n2;31/02/2024;23:59;4\n3;1/2/2024;x;1\n")
+    got = read_demand(spark, path)
+    assert rows(got, "service_id") == [
+        (1, day("2024-02-01"), 8, 3.0), (2, None, 23, 4.0), (3, day("2024-02-01"), None, 1.0)]
+    raw = read_text_table(spark, path, DEMAND_COLUMNS)
+    bad = rejected_demand(raw).orderBy("service_id").collect()
+    assert [(r["service_id"], r["rejected"]) for r in bad] == [("2", ["date"]), ("3", ["hour"])]
+    with pytest.raises(Exception, match="does not parse"):
+        read_demand(spark, path, strict=True).collect()
+
+
+def test_names_of_a_calendar_on_one_date_do_not_multiply_rows(spark):
+    p = panel(spark, [(1, "a", "2024-03-01", 8, 5.0)])
+    calendar = spark.sql("SELECT date'2024-03-01' AS date, explode(array('y', 'x', 'x')) AS holiday_name")
+    got = with_holidays(p, calendar).collect()
+    assert [(r["holiday_name"], r["is_holiday"]) for r in got] == [("x; y", True)]
+
+
+def test_holidays_of_any_year(spark):
+    p = panel(spark, [(1, "a", d, 0, 1.0) for d in ("1899-12-25", "2101-12-25", "2101-04-15", "2101-04-16")])
+    got = rows(with_holidays(p).select("date", "holiday_name"), "date")
+    assert [n for _, n in got] == [None, "Sexta-feira Santa", None, "Natal"]
 
 
 def test_weather_arrays(spark, tmp_path):
