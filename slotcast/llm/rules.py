@@ -35,7 +35,7 @@ THRESHOLDS = (
     ("dup_line_ratio", None, 0.5),
     ("stop_word_ratio", 0.02, None),
     ("bullet_line_ratio", None, 0.9),
-    ("shouted_ratio", None, 0.5),
+    ("upper_ratio", None, 0.5),
 )
 LEAST_WORDS = 50
 REPEATED_SHARE = 0.5
@@ -50,7 +50,7 @@ def repeated_words(words: Column) -> Column:
             F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")
         ),
     )
-    ordered = F.array_sort(windows)
+    ordered = F.sort_array(windows)
     same = lambda a, b: reduce(
         and_, [F.get(words, a["i"] + k) == F.get(words, b["i"] + k) for k in range(3)]
     )
@@ -69,7 +69,7 @@ def repeated_words(words: Column) -> Column:
 def counts(text: Column) -> dict[str, Column]:
     """Counts of a text that need its words (column ``words``) and lines (``lines``)."""
     words, lines = F.col("words"), F.col("lines")
-    folded = F.array(*[F.lit(w) for group in STOP_WORDS for w in group.split()])
+    stop = [w for group in STOP_WORDS for w in group.split()]
     return {
         "n_words": F.size(words),
         "word_chars": F.char_length(F.array_join(words, "")),
@@ -77,9 +77,9 @@ def counts(text: Column) -> dict[str, Column]:
         "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
         "n_repeat_words": repeated_words(words),
         "n_lines": F.size(lines),
-        "n_stop_words": F.size(F.filter(words, lambda w: F.array_contains(folded, F.lower(w)))),
+        "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(stop))),
         "n_bullets": F.size(F.filter(lines, lambda x: x.rlike(r"^[\x20\x09]*[-*•]"))),
-        "n_shouted": F.size(F.filter(words, lambda w: w.rlike(r"^\P{Ll}*\p{Lu}\P{Ll}*\p{Lu}\P{Ll}*\z"))),
+        "n_upper": F.coalesce(F.regexp_count(text, F.lit(r"\p{Lu}")), F.lit(0)),
     }
 
 
@@ -91,7 +91,7 @@ def ratios() -> dict[str, Column]:
         "dup_line_ratio": over("n_dup_lines", "n_lines"),
         "stop_word_ratio": over("n_stop_words", "n_words"),
         "bullet_line_ratio": over("n_bullets", "n_lines"),
-        "shouted_ratio": over("n_shouted", "n_words"),
+        "upper_ratio": over("n_upper", "word_chars"),
     }
 
 
