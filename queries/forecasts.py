@@ -109,7 +109,9 @@ def split_rows(spark, sf):
 
 def four_lag_weights(spark, sf):
     """Weights of the last four weeks, without intercept, rounded as published."""
-    train, _ = benchmarks.linear_rows(daily_dense(spark, sf), SPANS, DAILY)
+    rows = features.with_features(daily_dense(spark, sf), DAILY)
+    known = features.complete(rows, [*DAILY.keys, *WEEKLY_LAGS, *TARGETS])
+    train = backtest.in_span(known, SPANS.train)
     models = linear.fit(train, WEEKLY_LAGS, TARGETS)
     return plain(linear.weight_table(models, WEEKLY_LAGS, TARGETS), 3)
 
@@ -150,6 +152,20 @@ def top_weights(spark, sf):
     return plain(table, 5).orderBy("horizon", F.desc("weight"))
 
 
+def series_weights_intercept(spark, sf):
+    """Weights and intercepts of each series."""
+    models = benchmarks.linear_models(daily_dense(spark, sf), SPANS, DAILY, by_series=True, intercept=True)
+    names = features.linear_features(DAILY)
+    return plain(linear.weight_table(models, names, TARGETS, DAILY.keys, intercept=True), 4)
+
+
+def top_weights_intercept(spark, sf):
+    """Weights and intercept of the shared model."""
+    models = benchmarks.linear_models(daily_dense(spark, sf), SPANS, DAILY, intercept=True)
+    names = features.linear_features(DAILY)
+    return plain(linear.weight_table(models, names, TARGETS, intercept=True), 4)
+
+
 def gbt_forecast(spark, sf):
     """For each horizon the mean forecast of the training rows, before clipping,
     which a balanced fit makes the mean target, and the errors of the baseline."""
@@ -339,7 +355,7 @@ def expressed(feature: str) -> dict[str, float]:
     return features.WEEK_WEIGHTS if feature == "same_hour_wavg_4w" else {feature: 1.0}
 
 
-def weights_sql(keys) -> str:
+def weights_sql(keys, intercept: bool = False) -> str:
     """Weights of all nineteen inputs. Of all weights that give the same
     forecasts as those of the independent inputs, w = D' (D D')^-1 b is the
     shortest, where D holds the inputs in terms of the independent ones."""
@@ -352,9 +368,15 @@ def weights_sql(keys) -> str:
             total = " + ".join(f"{c!r}::DOUBLE * w_{t}_{i}" for i, c in enumerate(line.tolist()) if c)
             parts.append(
                 f"SELECT {''.join(f'{k}, ' for k in keys)}'{target}' AS horizon, "
-                f"'{f}' AS feature, round({total}, 5) AS weight FROM ls"
+                f"'{f}' AS feature, round({total}, {4 if intercept else 5}) AS weight FROM ls"
+            )
+        if intercept:
+            parts.append(
+                f"SELECT {''.join(f'{k}, ' for k in keys)}'{target}' AS horizon, "
+                f"'intercept' AS feature, round(w_{t}_{len(INDEPENDENT)}, 4) AS weight FROM ls"
             )
-    return f"WITH {FEATURES_SQL}, {least_squares_sql('tr', INDEPENDENT, TARGETS, keys)} " + (
+    inputs = [*INDEPENDENT, "1.0"] if intercept else INDEPENDENT
+    return f"WITH {FEATURES_SQL}, {least_squares_sql('tr', inputs, TARGETS, keys)} " + (
         " UNION ALL ".join(parts)
     )
 
@@ -414,7 +436,8 @@ ORACLES = {
            CAST(max(date) AS VARCHAR) AS "last"
     FROM p WHERE part IS NOT NULL GROUP BY service_id, sector, part""",
     "four_lag_weights": f"""WITH {FEATURES_SQL},
-    {least_squares_sql('tr', WEEKLY_LAGS, TARGETS)}
+    t4 AS (SELECT * FROM k2 WHERE {TRAIN_SQL} AND {' IS NOT NULL AND '.join([*WEEKLY_LAGS, *TARGETS])} IS NOT NULL),
+    {least_squares_sql('t4', WEEKLY_LAGS, TARGETS)}
     SELECT * FROM (""" + " UNION ALL ".join(
         f"SELECT 'w_plus_{t + 1}' AS horizon, '{f}' AS feature, round(w_{t}_{i}, 3) AS weight FROM ls"
         for t in range(5)
@@ -429,6 +452,8 @@ ORACLES = {
     {", ".join(f"round(p_w_plus_{h}_linear, 4) AS p_w_plus_{h}_linear" for h in HORIZONS)} FROM f""",
     "series_weights": weights_sql(["service_id", "sector"]),
     "top_weights": weights_sql([]),
+    "series_weights_intercept": weights_sql(["service_id", "sector"], True),
+    "top_weights_intercept": weights_sql([], True),
     "forecast_sample": f"""{linear_sql(False, False)}
     SELECT service_id, sector, {DATE_SQL}, demand, w_minus_1, w_minus_2, w_minus_3, w_minus_4,
     round(same_hour_mean_3w, 5) AS same_hour_mean_3w,
@@ -499,7 +524,7 @@ QUERIES = {
         week_offsets, lag_features, rolling_features, same_hour_means, sparse_lags, category_codes,
         calendar_features, baseline_backtest, sparse_baseline, same_hour_backtest, baseline_rows,
         split_rows, four_lag_weights, linear_by_series_rows, forecast_sample, series_weights,
-        top_weights, undated_offsets, undated_lags, gbt_forecast, poisson_forecast, model_comparison, gbt_search,
+        top_weights, series_weights_intercept, top_weights_intercept, undated_offsets, undated_lags, gbt_forecast, poisson_forecast, model_comparison, gbt_search,
     )
 } | {
     "linear_global": _linear(False, False),

@@ -44,8 +44,8 @@ def split(
 
 def around(df: DataFrame, span: Span, date: str = "date", back: int = 28, forward: int = 35):
     """The rows that offsets of a span can reach. This filter is on a plain
-    column before the window, so it prunes the scan, which a filter on the
-    span after the window cannot do."""
+    column before the window, so on a table it prunes the scan, which a filter
+    on the span after the window cannot do. It does not pass a filled grid."""
     start, end = span
     if start is not None:
         df = df.filter(F.col(date) >= F.date_sub(F.lit(start).cast("date"), back))

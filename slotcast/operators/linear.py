@@ -143,11 +143,17 @@ def weight_table(
     features: Sequence[str],
     targets: Sequence[str] = TARGETS,
     keys: Sequence[str] = (),
+    intercept: bool = False,
 ) -> DataFrame:
-    """(keys, horizon, feature, weight), one row per weight."""
+    """(keys, horizon, feature, weight), one row per weight; with ``intercept``
+    also one per intercept, under that name."""
     name = F.array(*[F.lit(f) for f in features])
     target = F.array(*[F.lit(t) for t in targets])
-    by_target = models.select(*keys, F.posexplode("weights").alias("_t", "_w"))
+    weights = F.col("weights")
+    if intercept:
+        weights = F.zip_with("weights", "intercepts", lambda w, i: F.concat(w, F.array(i)))
+        name = F.array(*[F.lit(f) for f in (*features, "intercept")])
+    by_target = models.select(*keys, F.posexplode(weights).alias("_t", "_w"))
     by_feature = by_target.select(*keys, "_t", F.posexplode("_w").alias("_f", "weight"))
     return by_feature.select(
         *keys, F.get(target, F.col("_t")).alias("horizon"),

@@ -68,8 +68,9 @@ EARLY_CUT = Spans(train=("2021-01-01", "2024-07-01"))
 
 
 def recursive_mean_backtest(panel: DataFrame, test: Span, grid: Grid = HOURLY) -> DataFrame:
-    """Errors of the recursive mean. It looks back by the calendar only, so
-    just the rows around the test span are read."""
+    """Errors of the recursive mean. It looks back by the calendar only, so only
+    rows around the test span are needed; where ``panel`` is a table, and not
+    the result of filling gaps, no others are read."""
     near = with_offsets(around(panel, test, grid.date, 14, 35), grid, back=(1, 2))
     known = complete(in_span(near, test, grid.date), OFFSETS)
     return score(with_recursive_mean(known, grid), ["baseline"])
