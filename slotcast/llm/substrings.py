@@ -35,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotcast.llm.store import stored
+from slotcast.llm.store import settled, stored
 
 LENGTH = 400
 GRAM = 32
 HOT = 8_000
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 PIECE = 1 << 20
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -485,7 +485,7 @@ def repeated_starts(documents: DataFrame, length: int = LENGTH, hot: int = HOT)
     if length < 2 * GRAM:
         raise ValueError("strings must be longer than two anchors")
     marks = stored(_anchor_rows(documents, length))
-    often = marks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    often = stored(marks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1))
     wanted = (
         marks.join(often, "hash").groupBy("key")
         .agg(F.collect_list(F.struct("pos", "hash", "n")).alias("anchors"))
@@ -574,6 +574,10 @@ def removed(documents: DataFrame, length: int = LENGTH) -> DataFrame:
 def _losses(documents: DataFrame, length: int) -> DataFrame:
     """``removed`` by key, with the texts that have copies, which lose all bytes,
     whether or not a task has met two of them."""
+    return settled(documents.sparkSession, lambda: _all_losses(documents, length))
+
+
+def _all_losses(documents: DataFrame, length: int) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     copies = (
         documents.filter(F.octet_length("text") >= length)
