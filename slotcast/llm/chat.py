@@ -20,7 +20,6 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -61,7 +60,6 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-@lru_cache(maxsize=2)
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
     from tokenizers.processors import ByteLevel

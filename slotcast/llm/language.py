@@ -19,7 +19,6 @@ read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +36,10 @@ EMBEDDING = 8
 MOST, WINDOWS = 600, 4
 BATCH = 512
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
 
 
 def to_bytes(text: str) -> np.ndarray:
@@ -145,7 +147,7 @@ def fit(documents: DataFrame) -> ByteNet | None:
         for batch in batches:
             langs, found = [], []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if not _LETTER.search(text.as_py() or ""):
+                if not has_letter(text.as_py()):
                     continue
                 rows = cut(to_bytes(text.as_py()))[0]
                 if len(rows) > WINDOWS:
@@ -183,7 +185,7 @@ def detect(documents: DataFrame, net: ByteNet | None) -> DataFrame:
 
         held = 0
         for place, text in enumerate(texts):
-            if text is None or net is None or not _LETTER.search(text):
+            if net is None or not has_letter(text):
                 continue
             rows, size = cut(to_bytes(text))
             for at in range(0, len(rows), 16 * BATCH):
