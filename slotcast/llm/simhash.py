@@ -116,17 +116,19 @@ def _linked(left: np.ndarray, right: np.ndarray, segments: int, distance: int) -
 
 
 def _forest(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least index each of ``size`` vertices is tied to."""
+    """The least index each of ``size`` vertices is tied to.
+
+    Roots are hooked, never members: all that have a root move with it, so an
+    edge within one root can be dropped and no link is lost.
+    """
     label = np.arange(size)
     while len(a):
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-        open_ = label[a] != label[b]
-        a, b = a[open_], b[open_]
-    while (label[label] != label).any():
-        label = label[label]
+        x, y = label[a], label[b]
+        open_ = x != y
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
     return label
 
 

@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +64,35 @@ def test_large_buckets_are_split(spark):
     assert whole == split == {frozenset(prints)}
 
 
+def _path(size, seed):
+    """Fingerprints of one key, in random order: neighbours of the path are linked, no others."""
+    draw = np.random.default_rng(seed)
+    path = [0x0123456789ABCDEF]
+    while len(path) < size:
+        low, high = draw.choice(np.arange(32, 48)), draw.choice(np.arange(48, 64), 2, replace=False)
+        step = path[-1] ^ (1 << int(low)) ^ (1 << int(high[0])) ^ (1 << int(high[1]))
+        if all((step ^ other).bit_count() > simhash.DISTANCE for other in path[:-1]):
+            path.append(step)
+    return draw.permutation(np.array(path, np.uint64))
+
+
+def test_forest_keeps_all_links():
+    assert simhash._forest(4, np.array([1, 2, 0]), np.array([2, 3, 3])).tolist() == [0, 0, 0, 0]
+
+
+@pytest.mark.parametrize("size", [4, 50, 500])
+def test_paths_in_one_key(spark, size):
+    from slotcast.llm.components import components
+
+    for seed in range(5):
+        rings = _path(size, seed)
+        assert not simhash._group_links(np.array([0]), rings, simhash.SEGMENTS, simhash.DISTANCE).any()
+    prints = rings.view(np.int64).tolist()
+    frame = spark.createDataFrame([(p,) for p in prints], "fingerprint long")
+    for block in (size // 3 + 1, 2 * size):
+        assert {frozenset(x) for x in _classes(components(simhash.links(frame, block=block)).collect())} == {frozenset(prints)}
+
+
 def _classes(rows):
     groups = {}
     for member, component in rows:
