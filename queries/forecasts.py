@@ -212,6 +212,19 @@ def model_comparison(spark, sf):
     return plain(errors.join(means, "horizon"), 4)
 
 
+def poisson_errors(spark, sf):
+    """Errors on the test rows of the recursive mean and of the counts model."""
+    panel = daily_dense(spark, sf)
+    return plain(benchmarks.count_benchmark(panel, EARLY, DAILY, features=COUNT_INPUTS), 4)
+
+
+def three_way_errors(spark, sf):
+    """Errors on the test rows of the recursive mean, least squares on four weeks
+    and the counts model."""
+    panel = daily_dense(spark, sf)
+    return plain(benchmarks.three_way_benchmark(panel, EARLY, DAILY, features=COUNT_INPUTS), 4)
+
+
 def gbt_search(spark, sf):
     """The table of ten candidates of a search, each of a single split."""
     rows = features.with_calendar(daily_dense(spark, sf), DAILY)
@@ -525,6 +538,7 @@ QUERIES = {
         calendar_features, baseline_backtest, sparse_baseline, same_hour_backtest, baseline_rows,
         split_rows, four_lag_weights, linear_by_series_rows, forecast_sample, series_weights,
         top_weights, series_weights_intercept, top_weights_intercept, undated_offsets, undated_lags, gbt_forecast, poisson_forecast, model_comparison, gbt_search,
+        poisson_errors, three_way_errors,
     )
 } | {
     "linear_global": _linear(False, False),
