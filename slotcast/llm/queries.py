@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotcast.llm import chat, decontaminate, language, mixing, quality, rules, simhash, substrings, toxicity, urls
-from slotcast.llm import sql
+from slotcast.llm import (
+    chat, clusters, decontaminate, infill, language, mixing, quality, rules, simhash, sql, substrings, toxicity, urls,
+    warc,
+)
 from slotcast.llm.store import fold
 
 
@@ -84,11 +86,23 @@ def op3_simhash_near_copies(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf, "pages"))
+
+
+def op12_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.cluster_table(table(spark, sf, "embeddings"))
+
+
+def op13_infill(spark: SparkSession, sf: str) -> DataFrame:
+    return infill.digests(infill.cut(table(spark, sf, "documents")))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_mix_sources, op2_url_filter, op3_simhash_near_copies, op4_language, op5_quality,
         op6_decontamination, op7_chat_format, op8_toxicity, op9_suffix_array_dedup,
-        op10_quality_rules,
+        op10_quality_rules, op11_warc, op12_centroids, op13_infill,
     )
 }
 ORACLES = sql.ORACLES

@@ -131,10 +131,79 @@ SELECT conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id
 """
 
+WARC_SQL = """
+WITH p AS (
+  SELECT row_number() OVER () AS r, page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d
+  FROM pages),
+f AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY page_id NULLS LAST, r) AS i,
+    first_value(page_id) OVER (PARTITION BY d ORDER BY page_id NULLS LAST, r) AS low FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 100 AND i > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND i > 1 THEN low END AS refers_to
+FROM f
+"""
+
+
+def centroid_sql(k: int = 40, rounds: int = 5, width: int = 64) -> str:
+    """Assignment and update written out for every round, by a full search."""
+    each = range(1, width + 1)
+    steps = [
+        f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: isfinite(x))) = {width})""",
+        f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), vec_id, v) - 1 AS c, v AS m
+  FROM v QUALIFY c < {k})""",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT r, c, {' + '.join(f'(v[{j}] - m[{j}]) * (v[{j}] - m[{j}])' for j in each)} AS d FROM v, c{i})
+  GROUP BY r)""")
+        if i < rounds:
+            mean = ", ".join(f"(sum(v[{j}]) - ((sum(v[{j}]) % count(*)) + count(*)) % count(*)) // count(*)" for j in each)
+            steps.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT c{i}.c, coalesce(n.m, c{i}.m) AS m FROM c{i} LEFT JOIN (
+    SELECT a{i}.c, list_transform([{mean}], lambda x: CAST(x AS BIGINT)) AS m FROM a{i} JOIN v USING (r) GROUP BY a{i}.c) n
+  ON n.c = c{i}.c)""")
+    return f"""WITH {', '.join(steps)}
+SELECT vec_id, CAST(a{rounds}.c AS INTEGER) AS cluster, d AS distance,
+  CAST(sum(d) OVER (PARTITION BY a{rounds}.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN c{rounds} ON c{rounds}.c = a{rounds}.c
+"""
+
+
+INFILL_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+    sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+h AS (
+  SELECT *, [CAST('0x' || substr(h, 1, 8) AS BIGINT), CAST('0x' || substr(h, 9, 8) AS BIGINT),
+    CAST('0x' || substr(h, 17, 8) AS BIGINT), CAST('0x' || substr(h, 25, 8) AS BIGINT)] AS u FROM d),
+f AS (
+  SELECT doc_id, t, n, least(u[1] % (n + 1), u[2] % (n + 1)) AS a, greatest(u[1] % (n + 1), u[2] % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR u[3] % 100 >= 90 THEN 'plain'
+      WHEN u[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM h),
+o AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM o
+"""
+
 ORACLES: dict[str, str] = {
     "op1_mix_sources": MIX_SQL,
     "op2_url_filter": URL_SQL,
     "op6_decontamination": DECONTAMINATION_SQL,
     "op7_chat_format": CHAT_SQL,
     "op10_quality_rules": RULES_SQL,
+    "op11_warc": WARC_SQL,
+    "op12_centroids": centroid_sql(),
+    "op13_infill": INFILL_SQL,
 }

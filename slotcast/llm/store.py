@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from contextvars import ContextVar
 from uuid import uuid4
 
@@ -11,11 +13,18 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset, one in the
-    warehouse, which driver and executors share as well."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset: one in the
+    warehouse, if all machines see it, as in local mode or on a store of its own.
+    A cluster with a warehouse of local files has no shared folder, which is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_llm"
+        warehouse, master = spark.conf.get("spark.sql.warehouse.dir").rstrip("/"), spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master) and re.match(r"file:|/", warehouse):
+            raise ValueError(
+                "set spark.checkpoint.dir to a folder that the driver and all executors share: "
+                f"it is unset, and the warehouse {warehouse} is a folder of one machine"
+            )
+        folder = f"{warehouse}/_llm"
     return folder.rstrip("/")
 
 
@@ -24,29 +33,52 @@ _OPEN: ContextVar[list[str] | None] = ContextVar("open", default=None)
 
 def stored(df: DataFrame) -> DataFrame:
     """The rows of ``df`` written once and read again: lost executors cost a
-    read, not the work before it, and branches share the one result."""
+    read, not the work before it, and branches share the one result.
+
+    The table lives until the ``settled`` or ``owned`` call around it ends.
+    """
     path = f"{shared_folder(df.sparkSession)}/llm-{uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     if (paths := _OPEN.get()) is not None:
         paths.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
 
 
-def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
-    """The stored result of ``make``; tables that were stored on the way are removed."""
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release(table: DataFrame) -> None:
+    """Removes a table of ``stored`` that nothing reads any more, before its owner would."""
+    _remove(table.sparkSession, table.stored_at)
+
+
+@contextmanager
+def owned(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside are removed at the end, results of ``settled`` too: take what you need before."""
     paths: list[str] = []
     token = _OPEN.set(paths)
     try:
-        result = make()
-        _OPEN.reset(token)
-        token = None
-        return stored(result)
+        yield
     finally:
-        if token is not None:
-            _OPEN.reset(token)
+        _OPEN.reset(token)
         for path in paths:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            _remove(spark, path)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """The stored result of ``make``; tables that were stored on the way are removed."""
+    outer = _OPEN.get()
+    with owned(spark):
+        result = make()
+        token = _OPEN.set(outer)
+        try:
+            return stored(result)
+        finally:
+            _OPEN.reset(token)
 
 
 def fold(doc_id: Column, folds: int) -> Column:
