@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotcast.llm import decontaminate, mixing, quality, resemblance, substrings
+from slotcast.llm import decontaminate, mixing, quality, simhash, substrings
 from slotcast.llm.store import fold, settled, stored
 
 
@@ -24,8 +24,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    return resemblance.drop_similar(docs)
+    """One document of each group of near copies: fingerprints of three-word shingles, at most three bits apart."""
+    return simhash.drop_near_copies(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", good_quality),
-    ("near-dedup", without_near_copies),
+    ("SimHash near-dedup", without_near_copies),
     ("suffix-array dedup", without_repeats),
     ("benchmark decontamination", without_benchmark),
     ("mixing to target weights", mixed),
