@@ -2,8 +2,9 @@ r"""Quality rules: a threshold table compiled into one Spark projection.
 
 Words are runs of ``[^\x20\x09-\x0D]``. Every measure is a built-in expression
 over the words, lines and characters of one row, so a document needs no
-shuffle, whatever its length. Three-word windows meet as 64-bit hashes sorted
-within the row; two equal neighbours are compared word by word.
+shuffle, whatever its length. Three-word windows meet as 64-bit hashes; where some
+are equal they are sorted within the row, and equal neighbours are compared word
+by word.
 
 Defined results: a null or empty text has no words, all counts are 0 and it
 fails; a null id keeps its row; repeated rows are judged alike; an empty table
@@ -41,33 +42,36 @@ LEAST_WORDS = 50
 REPEATED_SHARE = 0.5
 
 
-def repeated_words(words: Column) -> Column:
-    """Words inside three-word windows that occur twice or more in the row."""
-    n = F.size(words)
-    windows = F.transform(
-        F.slice(words, 1, F.greatest(n - 2, F.lit(0))),
-        lambda w, i: F.struct(
-            F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")
-        ),
+def window_hashes(words: Column) -> Column:
+    """A 64-bit hash of each three-word window, in order."""
+    return F.transform(
+        F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))),
+        lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)),
     )
-    ordered = F.sort_array(windows)
-    same = lambda a, b: reduce(
-        and_, [F.get(words, a["i"] + k) == F.get(words, b["i"] + k) for k in range(3)]
-    )
-    pairs = F.filter(
-        F.arrays_zip(
-            F.slice(ordered, 1, F.greatest(n - 3, F.lit(0))).alias("a"),
-            F.slice(ordered, 2, F.greatest(n - 3, F.lit(0))).alias("b"),
-        ),
-        lambda p: (p["a"]["h"] == p["b"]["h"]) & same(p["a"], p["b"]),
+
+
+def repeated_starts(words: Column, ordered: Column) -> Column:
+    """First words of the windows in ``ordered`` (hash h, place i; sorted) that equal a neighbour word by word."""
+
+    def same(a: Column, b: Column) -> Column:
+        equal = [F.get(words, a["i"] + k) == F.get(words, b["i"] + k) for k in range(3)]
+        return F.coalesce((a["h"] == b["h"]) & reduce(and_, equal), F.lit(False))
+
+    alike = F.filter(ordered, lambda x, k: same(x, F.get(ordered, k + 1)) | same(x, F.get(ordered, k - 1)))
+    return F.array_sort(F.transform(alike, lambda x: x["i"]))
+
+
+def covered_words(starts: Column) -> Column:
+    """Words inside the windows at the sorted ``starts``: three each, less what the next one shares."""
+    step = lambda seen, i: F.struct(
+        (seen["n"] + F.least(F.lit(3), i - seen["last"])).alias("n"), i.alias("last")
     )
-    starts = F.concat(F.transform(pairs, lambda p: p["a"]["i"]), F.transform(pairs, lambda p: p["b"]["i"]))
-    inside = F.flatten(F.transform(starts, lambda i: F.array(i, i + 1, i + 2)))
-    return F.when(n < 4, F.lit(0)).otherwise(F.size(F.array_distinct(inside)))
+    none = F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last"))
+    return F.aggregate(starts, none, step, lambda seen: seen["n"])
 
 
 def counts(text: Column) -> dict[str, Column]:
-    """Counts of a text that need its words (column ``words``) and lines (``lines``)."""
+    """Counts of a text from its ``words``, ``lines`` and the ``starts`` of repeated windows."""
     words, lines = F.col("words"), F.col("lines")
     stop = [w for group in STOP_WORDS for w in group.split()]
     return {
@@ -75,7 +79,7 @@ def counts(text: Column) -> dict[str, Column]:
         "word_chars": F.char_length(F.array_join(words, "")),
         "n_symbols": F.coalesce(F.regexp_count(text, F.lit(r"[#*$%&|<>]")), F.lit(0)),
         "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
-        "n_repeat_words": repeated_words(words),
+        "n_repeat_words": F.coalesce(covered_words(F.col("starts")), F.lit(0)),
         "n_lines": F.size(lines),
         "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(stop))),
         "n_bullets": F.size(F.filter(lines, lambda x: x.rlike(r"^[\x20\x09]*[-*•]"))),
@@ -117,7 +121,13 @@ def judge(documents: DataFrame, thresholds: tuple = THRESHOLDS) -> DataFrame:
         F.regexp_extract_all(text, F.lit(WORD), 0).alias("words"),
         F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)).alias("lines"),
     )
-    counted = split.select(
+    hashed = split.withColumn("hashes", window_hashes(F.col("words")))
+    # hashes that are all different belong to windows that are: nothing is sorted then
+    some = F.size(F.array_distinct("hashes")) < F.size("hashes")
+    placed = F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    ordered = hashed.withColumn("ordered", F.when(some, F.sort_array(placed))).drop("hashes")
+    found = ordered.withColumn("starts", repeated_starts(F.col("words"), F.col("ordered"))).drop("ordered")
+    counted = found.select(
         "doc_id", *[c.cast("long").alias(name) for name, c in counts(F.col("text")).items()]
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (
