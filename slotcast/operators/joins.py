@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -56,21 +58,84 @@ def keep_ids(df: DataFrame, ids: DataFrame, key: str = "service_id") -> DataFram
     return df.join(ids.select(key), key, "left_semi")
 
 
-# Longest interval that is unfolded, in days: a longer one is taken for a mistyped date.
-LONGEST_INTERVAL = 36_600
+def dealt_join(
+    fact: DataFrame, few: DataFrame, on: Sequence[str], salts: int = 1, within: Column | None = None, how: str = "left"
+) -> DataFrame:
+    """``fact`` with the other columns of ``few``, by keys of which null equals null.
+
+    Rows of the fact are dealt in turn over ``salts`` copies of ``few``. ``within``
+    is a further condition on columns of both.
+    """
+    own = [f"_of_{k}" for k in on]
+    other = few.withColumnsRenamed(dict(zip(on, own)))
+    match = reduce(and_, [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(on, own)], F.lit(True) if within is None else within)
+    if salts > 1:
+        fact = fact.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+        other = other.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        match = match & (F.col("_salt") == F.col("_copy"))
+    return fact.join(other, match, how).drop(*own, "_salt", "_copy")
+
+
+# Where an interval without a start or an end reaches to.
+FIRST_DAY, LAST_DAY = "0001-01-01", "9999-12-31"
+
+
+def merged_intervals(windows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, start, end): the union of the closed intervals of each key, as
+    intervals that neither overlap nor touch. A null start or end is open.
 
+    An interval opens a new island where it starts past the furthest end of all
+    that start before it. Of intervals with one start only the longest matters,
+    so a key has at most one row per day of the calendar in that window,
+    whatever its share of the table.
+    """
+    start = F.coalesce("start", F.lit(FIRST_DAY).cast("date"))
+    end = F.coalesce("end", F.lit(LAST_DAY).cast("date"))
+    known = windows.select(*keys, start.alias("start"), end.alias("end")).filter("start <= end")
+    longest = known.groupBy(*keys, "start").agg(F.max("end").alias("end"))
+    order = Window.partitionBy(*keys).orderBy("start")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(F.datediff("start", reach) <= 1, 0).otherwise(1)
+    island = F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return (
+        longest.withColumn("_fresh", fresh).withColumn("_island", island)
+        .groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+        .drop("_island")
+    )
 
-def interval_days(windows: DataFrame, longest: int = LONGEST_INTERVAL) -> DataFrame:
-    """Closed intervals (start, end, label) to one row per day and label, so
-    that membership is an equality join and not a comparison of all pairs. An
-    interval of more than ``longest`` days ends the job."""
-    span = F.datediff("end", "start")
-    mistyped = F.concat(F.lit("interval too long, in days: "), span.cast("string"))
-    end = F.when(span > longest, F.raise_error(mistyped).cast("date")).otherwise(F.col("end"))
-    days = F.explode(F.sequence(F.col("start"), end))
-    return windows.filter("start <= end").select(days.alias("date"), "label").distinct()
 
+# Days of a bucket of the range join.
+BUCKET_DAYS = 64
 
-def label_intervals(df: DataFrame, windows: DataFrame, how: str = "left") -> DataFrame:
-    """Add the label of each interval a date lies in."""
-    return lookup_join(df, interval_days(windows), "date", how)
+
+def in_intervals(
+    df: DataFrame, windows: DataFrame, on: Sequence[str] = (), date: str = "date", how: str = "left",
+    salts: int = 1, days: int = BUCKET_DAYS,
+) -> DataFrame:
+    """``df`` joined with the intervals (on, start, end, ...) its date lies in.
+
+    Intervals are cut at the edges of buckets of ``days`` days, within the span of
+    the dates of ``df``: a date meets the pieces of its own bucket by equality and
+    then the exact bounds. No day is unfolded, and an open interval or one of
+    centuries has one row per bucket that the data can reach.
+    """
+    bucket = lambda d: F.floor(F.unix_date(d) / days).cast("long")
+    spanned = df.agg(F.struct(F.min(date).alias("lo"), F.max(date).alias("hi")).alias("span"))
+    reached = windows.withColumn("_span", spanned.scalar()).withColumns({
+        "_lo": F.greatest("start", "_span.lo"), "_hi": F.least("end", "_span.hi")
+    }).filter("_lo <= _hi")
+    pieces = reached.withColumn("_bucket", F.explode(F.sequence(bucket("_lo"), bucket("_hi")))).drop("_span", "_lo", "_hi")
+    inside = F.col(date).between(F.col("_start"), F.col("_end"))
+    renamed = pieces.withColumnsRenamed({"start": "_start", "end": "_end"})
+    dated = df.withColumn("_bucket", bucket(date))
+    return dealt_join(dated, renamed, [*on, "_bucket"], salts, inside, how).drop("_bucket", "_start", "_end")
+
+
+def label_intervals(
+    df: DataFrame, windows: DataFrame, how: str = "left", on: Sequence[str] = (), salts: int = 1
+) -> DataFrame:
+    """Add the label of each interval (start, end, label) a date lies in; with
+    ``on`` intervals hold for the rows of their key. Overlapping intervals of one
+    label give one row, those of several labels one each."""
+    merged = merged_intervals(windows, [*on, "label"])
+    return in_intervals(df, merged, on, how=how, salts=salts)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from slotcast.functions.dates import within
 from slotcast.grid import SLOT, Grid, fill_grid
+from slotcast.operators.joins import in_intervals, merged_intervals
 from slotcast.operators.levels import KEY, group_columns
 
 TOTALS = Grid(keys=("level", "group"), hour=None, value="total")
@@ -37,3 +38,18 @@ def interval_means(totals: DataFrame, windows: Iterable[tuple[str, str]]) -> Dat
         F.avg(F.when(inside, F.col("total"))).alias("inside_mean"),
         F.avg(F.when(~inside, F.col("total"))).alias("outside_mean"),
     ).drop(KEY)
+
+
+def interval_means_of(
+    totals: DataFrame, windows: DataFrame, on: Sequence[str] = ()
+) -> DataFrame:
+    """Mean daily total inside and outside the union of the intervals (on, start,
+    end) of a table. A day in several intervals counts once; a group without
+    intervals has no mean inside."""
+    marked = merged_intervals(windows, on).withColumn("_inside", F.lit(True))
+    days = in_intervals(totals, marked, on)
+    return days.groupBy(*group_columns(totals)).agg(
+        F.avg(F.when(F.col("_inside"), F.col("total"))).alias("inside_mean"),
+        F.avg(F.when(F.col("_inside").isNull(), F.col("total"))).alias("outside_mean"),
+        F.count("_inside").alias("inside_days"),
+    ).drop(KEY)
