@@ -110,6 +110,45 @@ def outbreak_labels(spark, sf):
     ))
 
 
+# Intervals of centuries, without an end, and overlapping ones of one label.
+LONG_WINDOWS = [
+    ("centuries", "1850-01-01", "2150-01-01"), ("open end", "1998-06-01", None), ("open start", None, "1995-12-31"),
+    ("season", "1996-03-01", "1996-05-31"), ("season", "1996-05-01", "1996-07-15"), ("season", "1997-02-01", "1997-02-28"),
+]
+
+
+def long_intervals(spark, sf):
+    """Shipments within intervals of any length, by label."""
+    windows = spark.createDataFrame(LONG_WINDOWS, "label string, start string, end string").selectExpr(
+        "label", "date(start) AS start", "date(end) AS end"
+    )
+    labelled = joins.label_intervals(shipped(spark, sf), windows, "inner")
+    return plain(labelled.groupBy("label").agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("date").alias("days"), F.sum("demand").alias("demand")
+    ))
+
+
+def sector_windows(spark, sf):
+    """Overlapping, touching and open intervals of each nation."""
+    key = F.col("n_nationkey")
+    at = lambda start, end: F.struct(start.cast("date").alias("start"), end.cast("date").alias("end"))
+    day = lambda days: F.date_add(F.lit("1996-01-01").cast("date"), (37 * key + days).cast("int"))
+    fixed = lambda text: F.lit(text).cast("date")
+    windows = F.array(
+        at(day(0), day(90)), at(day(60), day(200)), at(day(201), day(220)), at(day(10), day(20)),
+        at(F.when(key % 5 == 0, fixed("2001-01-01")).otherwise(fixed("2000-02-01")), F.when(key % 5 != 0, fixed("2000-04-30"))),
+    )
+    return table(spark, sf, "nation").select(
+        F.lit("sector").alias("level"), F.col("n_name").alias("group"), F.inline(windows)
+    )
+
+
+def sector_outbreaks(spark, sf):
+    """Mean daily total inside and outside the intervals that each sector has of its own."""
+    totals = distribution.daily_totals(shipped_by_unit(spark, sf), BY_SECTOR_AND_UNIT)
+    return plain(series.interval_means_of(totals, sector_windows(spark, sf), ["level", "group"]))
+
+
 def daily_grid(spark, sf):
     return plain(fill_grid(daily(spark, sf), DAILY))
 
@@ -189,6 +228,29 @@ def clean_panel(spark, sf):
     return plain(panel_.select("service_id", "sector", "date", "hour", "demand"))
 
 
+def _cleaned(spark, sf, service):
+    """Raw rows of events by ``service``, spikes repaired, several rows to a slot."""
+    events = table(spark, sf, "events")
+    raw = events.select(
+        service.alias("service_id"), F.to_date("ts").alias("date"), F.hour("ts").alias("hour"),
+        F.col("value").alias("demand"),
+    )
+    sector = F.concat(F.lit("sector "), service % 3).alias("sector")
+    organisation = events.select(service.alias("service_id"), sector).distinct()
+    return plain(panel.clean_panel(raw, organisation, "2024-01-28", factor=1.5, floor=10.0))
+
+
+def clean_users(spark, sf):
+    """Raw rows of many small services."""
+    return _cleaned(spark, sf, F.col("user_id"))
+
+
+def clean_hot_service(spark, sf):
+    """Raw rows of which one service has a third, beside fifty others."""
+    user = F.col("user_id")
+    return _cleaned(spark, sf, F.when(user % 3 == 0, F.lit(0)).otherwise(user % 50 + 1).cast("long"))
+
+
 def typed_text(spark, sf):
     """Events written as text, with one or two digits, every seventh with a day
     that does not exist, and typed again."""
@@ -258,6 +320,22 @@ t AS (SELECT 'overall' AS level, 'all' AS "group", date, sum(demand) AS total FR
 INSIDE_SQL = " OR ".join(f"date BETWEEN DATE '{a}' AND DATE '{b}'" for a, b in WINDOWS)
 
 
+def clean_sql(service: str) -> str:
+    return f"""
+    WITH r AS (
+      SELECT {service} AS service_id, CAST(ts AS DATE) AS date, CAST(hour(ts) AS BIGINT) AS hour, value AS demand
+      FROM events WHERE CAST(ts AS DATE) <= DATE '2024-01-28'),
+    s AS (SELECT service_id, date, hour, avg(demand) AS m FROM r GROUP BY ALL),
+    n AS (
+      SELECT r.*, a.m AS a, b.m AS b FROM r
+      LEFT JOIN s a ON a.service_id = r.service_id AND a.hour = r.hour AND a.date = r.date - 7
+      LEFT JOIN s b ON b.service_id = r.service_id AND b.hour = r.hour AND b.date = r.date + 7),
+    f AS (SELECT *, CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE (a + b) / 2 END AS ref FROM n)
+    SELECT CAST(service_id AS BIGINT) AS service_id, 'sector ' || (service_id % 3) AS sector,
+      CAST(date AS VARCHAR) AS date, hour,
+      round(CASE WHEN demand > 1.5 * ref AND demand > 10 THEN ref ELSE demand END, 6) AS demand FROM f"""
+
+
 def rain_sql(panel: str, where: str, mm: float, common: bool) -> str:
     keep = (
         "WHERE service_id IN (SELECT service_id FROM r WHERE rained "
@@ -398,6 +476,25 @@ ORACLES = {
     f AS (SELECT *, CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE (a + b) / 2 END AS ref FROM n)
     SELECT service_id, 'sector ' || (service_id % 2) AS sector, CAST(date AS VARCHAR) AS date, hour,
       round(CASE WHEN demand > 1.5 * ref AND demand > 10 THEN ref ELSE demand END, 6) AS demand FROM f""",
+    "clean_users": clean_sql("user_id"),
+    "clean_hot_service": clean_sql("CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id % 50 + 1 END"),
+    "long_intervals": f"""WITH {SHIPPED_SQL},
+    w AS (SELECT label, CAST(s AS DATE) AS a, CAST(e AS DATE) AS b FROM (VALUES {", ".join(
+        "(" + ", ".join("NULL" if v is None else f"'{v}'" for v in w) + ")" for w in LONG_WINDOWS)}) v(label, s, e)),
+    m AS (SELECT DISTINCT label, service_id, date, demand FROM l JOIN w
+          ON (a IS NULL OR date >= a) AND (b IS NULL OR date <= b))
+    SELECT label, count(*) AS rows, count(DISTINCT date) AS days, round(sum(demand), 6) AS demand FROM m GROUP BY label""",
+    "sector_outbreaks": f"""WITH {SHIPPED_SQL}, {TOTALS_SQL},
+    n AS (SELECT n_name, n_nationkey AS k, DATE '1996-01-01' + 37 * n_nationkey AS d FROM nation),
+    w AS (SELECT n_name, d AS a, d + 90 AS b FROM n UNION ALL SELECT n_name, d + 60, d + 200 FROM n
+          UNION ALL SELECT n_name, d + 201, d + 220 FROM n UNION ALL SELECT n_name, d + 10, d + 20 FROM n
+          UNION ALL SELECT n_name, CASE WHEN k % 5 = 0 THEN DATE '2001-01-01' ELSE DATE '2000-02-01' END,
+            CASE WHEN k % 5 <> 0 THEN DATE '2000-04-30' ELSE DATE '9999-12-31' END FROM n),
+    x AS (SELECT t.*, level = 'sector' AND EXISTS (
+            SELECT 1 FROM w WHERE w.n_name = t."group" AND t.date BETWEEN w.a AND w.b) AS inside FROM t)
+    SELECT level, "group", round(avg(total) FILTER (inside), 6) AS inside_mean,
+           round(avg(total) FILTER (NOT inside), 6) AS outside_mean, count(*) FILTER (inside) AS inside_days
+    FROM x GROUP BY ALL""",
     "typed_text": """
     SELECT CASE WHEN event_id % 7 <> 0 THEN CAST(CAST(ts AS DATE) AS VARCHAR) END AS date,
            hour(ts) AS hour, count(*) AS rows, round(sum(value), 6) AS demand,
@@ -420,6 +517,7 @@ QUERIES = {
         dimension_enrich, spike_clean, holiday_contrast, rain_contrast, season_rain_contrast,
         common_services, period_contrast, daily_stats, fd_histogram, smoothed_series,
         outbreak_means, outbreak_labels, daily_grid, grid_gaps, slot_duplicates, holiday_days,
-        holiday_span, unit_labels, rejected_text, clean_panel, typed_text, weather_json, holiday_dimension,
+        holiday_span, unit_labels, rejected_text, clean_panel, clean_users, clean_hot_service,
+        long_intervals, sector_outbreaks, typed_text, weather_json, holiday_dimension,
     )
 }
