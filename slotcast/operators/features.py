@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from slotcast.functions.dates import calendar_features
@@ -74,20 +74,20 @@ def offset_columns(
     return {**{past(k): at(-k) for k in back}, **{ahead(k): at(k) for k in forward}}
 
 
-def lag_columns(grid: Grid, value: str) -> dict[str, Column]:
+def lag_columns(grid: Grid, value: str, window: WindowSpec | None = None) -> dict[str, Column]:
     """Weekly lags, and lags of one to three days before the one-week lag."""
-    window, week = grid.window(), grid.week
+    window, week = window or grid.window(), grid.week
     weekly = {f"lag_{k}w": F.lag(value, k * week).over(window) for k in BACK}
     daily = {f"lag_{24 * d}h": F.lag(value, week + d * grid.day).over(window) for d in (1, 2, 3)}
     return {**weekly, **daily}
 
 
-def rolling_columns(grid: Grid, value: str) -> dict[str, Column]:
+def rolling_columns(grid: Grid, value: str, window: WindowSpec | None = None) -> dict[str, Column]:
     """Means of 3, 6 and 24 rows that end one row before the one-week lag; null
     unless all of them are there."""
     columns = {}
     for n in WIDTHS:
-        frame = grid.window().rowsBetween(-(grid.week + n), -(grid.week + 1))
+        frame = (window or grid.window()).rowsBetween(-(grid.week + n), -(grid.week + 1))
         full = F.count(value).over(frame) == n
         columns[f"roll_mean_{n}h"] = F.when(full, F.avg(value).over(frame))
     return columns
