@@ -9,7 +9,9 @@ same job without keys. Only solving those small systems is done in Python.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slotcast.functions.rows import dot, not_negative, quoted
-from slotcast.operators.backtest import predicted
+from slotcast.operators.backtest import Span, predicted
 from slotcast.operators.features import TARGETS, complete
 
 # Directions this much weaker than the strongest one count as linear dependence.
@@ -93,7 +95,11 @@ def fit(
     """(keys, rows, weights, intercepts): per key one array of weights and one
     intercept for each target. Of all weights that fit best, those of smallest
     norm are taken. No training rows, no row."""
-    sums = moments(train, features, targets, keys).filter(F.size("moments") > 0)
+    return _solved(moments(train, features, targets, keys), features, keys, intercept)
+
+
+def _solved(sums: DataFrame, features: Sequence[str], keys: Sequence[str], intercept: bool) -> DataFrame:
+    sums = sums.filter(F.size("moments") > 0)
     weights = T.ArrayType(T.ArrayType(T.DoubleType()))
     schema = T.StructType([
         *[sums.schema[k] for k in keys],
@@ -104,6 +110,42 @@ def fit(
     return sums.mapInPandas(solver(keys, len(features), intercept), schema)
 
 
+def fit_spans(
+    rows: DataFrame,
+    spans: Mapping[str, Span],
+    features: Sequence[str],
+    targets: Sequence[str] = TARGETS,
+    keys: Sequence[str] = (),
+    intercept: bool = False,
+    date: str = "date",
+) -> DataFrame:
+    """(span, keys, rows, weights, intercepts): ``fit`` for several training spans
+    from one pass over ``rows``.
+
+    The first and last days of all spans cut the calendar into periods. Sums of
+    products are taken by period, and as they add up, the sums of a span are those
+    of its periods: small matrices, added and never subtracted, so a short span
+    loses nothing beside a long one.
+    """
+    edges = sorted({day for span in spans.values() for day in span if day is not None})
+    period = sum((F.when(F.col(date) >= F.lit(day).cast("date"), 1).otherwise(0) for day in edges), F.lit(0))
+    reach = [
+        (name, edges.index(lo) + 1 if lo else 0, edges.index(hi) if hi else len(edges))
+        for name, (lo, hi) in spans.items()
+    ]
+    inside = reduce(or_, [F.col("_period").between(lo, hi) for _, lo, hi in reach])
+    dated = rows.filter(F.col(date).isNotNull()).withColumn("_period", period).filter(inside)
+    sums = moments(dated, features, targets, [*keys, "_period"])
+    names = F.array_compact(F.array(*[F.when(F.col("_period").between(lo, hi), F.lit(name)) for name, lo, hi in reach]))
+    lines = sums.select(F.explode(names).alias("span"), *keys, F.posexplode("moments").alias("_line", "_sums"))
+    total = F.array(*[F.sum(F.col("_sums")[i]) for i in range(1 + len(features) + len(targets))])
+    whole = (
+        lines.groupBy("span", *keys, "_line").agg(total.alias("_sums")).groupBy("span", *keys)
+        .agg(F.expr("array_sort(collect_list(struct(_line, _sums)))._sums").alias("moments"))
+    )
+    return _solved(whole, features, ["span", *keys], intercept)
+
+
 def predict(
     df: DataFrame,
     models: DataFrame,
