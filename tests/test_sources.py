@@ -5,6 +5,7 @@ import pytest
 from dateutil.easter import easter
 from pyspark.sql import functions as F
 
+from slotcast.functions.checkpoints import shared_folder
 from slotcast.operators.contrast import with_holidays
 from slotcast.plans.panel import clean_panel
 from slotcast.sources.demand import (
@@ -74,6 +75,59 @@ def test_one_digit_dates_and_hours(spark, tmp_path):
         read_demand(spark, path, strict=True).collect()
 
 
+def test_rows_with_a_wrong_number_of_fields(spark, tmp_path):
+    path = write(tmp_path / "m.csv", "data;idservico;hora;consultas\n01/03/2024;1;08:00;3\n02/03/2024;2;09:00\n"
+                 "03/03/2024;3;10:00;5;9\n31/02/2024;4;11:00;6\n;;;\n04/03/2024;6;12:00;7;8;9\n")
+    got = read_demand(spark, path)
+    assert rows(got.select("service_id", "demand"), "service_id") == [(None, None), (1, 3.0), (4, 6.0)]
+    raw = read_text_table(spark, path, DEMAND_COLUMNS)
+    bad = rejected_demand(raw).orderBy("service_id").collect()
+    assert [(r["service_id"], r["demand"], r["rejected"], r["malformed"]) for r in bad] == [
+        ("2", None, ["fields"], "02/03/2024;2;09:00"), ("3", "5", ["fields"], "03/03/2024;3;10:00;5;9"),
+        ("4", "6", ["date"], None), ("6", "7", ["fields"], "04/03/2024;6;12:00;7;8;9"),
+    ]
+    with pytest.raises(Exception, match="wrong number of fields"):
+        read_demand(spark, path, strict=True).collect()
+
+
+def test_text_without_a_header(spark, tmp_path):
+    path = write(tmp_path / "n.csv", "1;01/03/2024;08:00;3\n2;01/03/2024\n")
+    got = read_demand(spark, path, names=["idservico", "data", "hora", "consultas"])
+    assert rows(got, "service_id") == [(1, day("2024-03-01"), 8, 3.0)]
+
+
+def test_a_year_is_written_again_and_others_stay(spark, tmp_path):
+    p = panel(spark, [(1, "a", "2023-12-31", 1, 1.0), (1, "a", "2024-01-01", 2, 2.0), (1, "a", "2024-05-01", 2, 2.5)])
+    path = str(tmp_path / "p")
+    write_panel(p, path)
+    again = panel(spark, [(2, "b", "2024-02-01", 3, 9.0), (2, "b", "2025-02-01", 3, 8.0)])
+    for _ in range(2):
+        write_panel(again, path, years=True)
+        got = rows(read_panel(spark, path).select("date", "demand"), "date")
+        assert got == [(day("2023-12-31"), 1.0), (day("2024-02-01"), 9.0), (day("2025-02-01"), 8.0)]
+    write_panel(again.limit(0), path, years=True)
+    assert read_panel(spark, path).count() == 3
+
+
+def test_a_cluster_without_a_shared_folder_is_told_so():
+    class Conf(dict):
+        def get(self, key, default=None):
+            return super().get(key, default)
+
+    class Session:
+        def __init__(self, master, **conf):
+            self.conf = Conf({"spark.sql.warehouse.dir": "file:/home/x/spark-warehouse", **conf})
+            self.sparkContext = type("C", (), {"master": master})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session("spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session("local-cluster[2,1,1024]"))
+    assert shared_folder(Session("local[8]")) == "file:/home/x/spark-warehouse/_checkpoints"
+    assert shared_folder(Session("yarn", **{"spark.checkpoint.dir": "hdfs:///c/"})) == "hdfs:///c"
+    assert shared_folder(Session("yarn", **{"spark.sql.warehouse.dir": "hdfs:///w"})) == "hdfs:///w/_checkpoints"
+
+
 def test_names_of_a_calendar_on_one_date_do_not_multiply_rows(spark):
     p = panel(spark, [(1, "a", "2024-03-01", 8, 5.0)])
     calendar = spark.sql("SELECT date'2024-03-01' AS date, explode(array('y', 'x', 'x')) AS holiday_name")
