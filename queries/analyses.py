@@ -21,6 +21,7 @@ from queries.panels import (
 )
 
 from queries.shape import plain
+from slotcast.functions.checkpoints import checkpointed, work_folder
 from slotcast.functions.rows import label
 from slotcast.grid import DAILY, Grid, duplicate_slots, fill_grid, missing_slots
 from slotcast.operators import clean, contrast, distribution, joins, series
@@ -228,6 +229,34 @@ def clean_panel(spark, sf):
     return plain(panel_.select("service_id", "sector", "date", "hour", "demand"))
 
 
+def malformed_text(spark, sf):
+    """Events written as lines of text, some a field short and some a field long,
+    and read again: the rows that are rejected, and why."""
+    with work_folder(spark) as folder:
+        line = F.concat_ws(
+            ";", "service_id", "date", "hour",
+            F.when(F.col("n") % 11 != 0, F.col("demand")), F.when(F.col("n") % 13 == 0, F.lit("x;y")),
+        )
+        text = event_text(spark, sf).withColumn("n", F.col("service_id").cast("long"))
+        text.select(line.alias("value")).write.text(folder)
+        raw = demand.read_raw_demand(spark, folder, names=list(demand.DEMAND_COLUMNS))
+        rejected = demand.rejected_demand(raw).select(
+            "service_id", "date", "demand", F.array_join("rejected", ",").alias("rejected"), "malformed"
+        )
+        return checkpointed(plain(rejected))
+
+
+def rewritten_panel(spark, sf):
+    """A panel by year of which one year is written again, twice; the others stay."""
+    with work_folder(spark) as folder:
+        days = daily(spark, sf)
+        demand.write_panel(days, folder)
+        again = days.filter(F.year("date") == 1997).withColumn("demand", F.col("demand") + 100)
+        for _ in range(2):
+            demand.write_panel(again.filter(F.day("date") <= 20), folder, years=True)
+        return checkpointed(plain(demand.read_panel(spark, folder, "1996-07-01", "1999-01-01")))
+
+
 def _cleaned(spark, sf, service):
     """Raw rows of events by ``service``, spikes repaired, several rows to a slot."""
     events = table(spark, sf, "events")
@@ -476,6 +505,25 @@ ORACLES = {
     f AS (SELECT *, CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE (a + b) / 2 END AS ref FROM n)
     SELECT service_id, 'sector ' || (service_id % 2) AS sector, CAST(date AS VARCHAR) AS date, hour,
       round(CASE WHEN demand > 1.5 * ref AND demand > 10 THEN ref ELSE demand END, 6) AS demand FROM f""",
+    "malformed_text": r"""
+    WITH r AS (
+      SELECT user_id AS n, CAST(user_id AS VARCHAR) AS s, CAST(value AS VARCHAR) AS v,
+        CASE WHEN event_id % 7 = 0 THEN '31/02/2024' WHEN event_id % 2 = 0 THEN strftime(ts, '%-d/%-m/%Y')
+          ELSE strftime(ts, '%d/%m/%Y') END AS d,
+        CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%-H:%-M') ELSE strftime(ts, '%H:%M') END AS h,
+        event_id % 7 = 0 AS undated FROM events),
+    p AS (
+      SELECT *, [s, d, h] || CASE WHEN n % 11 <> 0 THEN [v] ELSE [] END
+        || CASE WHEN n % 13 = 0 THEN ['x', 'y'] ELSE [] END AS f FROM r),
+    c AS (
+      SELECT *, CASE WHEN len(f) <> 4 THEN array_to_string(f, ';') END AS malformed, f[4] AS demand,
+        list_filter([CASE WHEN len(f) <> 4 THEN 'fields' END, CASE WHEN undated THEN 'date' END,
+          CASE WHEN f[4] = 'x' THEN 'demand' END], lambda x: x IS NOT NULL) AS bad FROM p)
+    SELECT s AS service_id, d AS date, demand, array_to_string(bad, ',') AS rejected, malformed FROM c WHERE len(bad) > 0""",
+    "rewritten_panel": f"""WITH {DAILY_SQL}
+    SELECT service_id, sector, CAST(date AS VARCHAR) AS date,
+      CASE WHEN year(date) = 1997 THEN demand + 100 ELSE demand END AS demand
+    FROM d WHERE date >= DATE '1996-07-01' AND date < DATE '1999-01-01' AND (year(date) <> 1997 OR day(date) <= 20)""",
     "clean_users": clean_sql("user_id"),
     "clean_hot_service": clean_sql("CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id % 50 + 1 END"),
     "long_intervals": f"""WITH {SHIPPED_SQL},
@@ -518,6 +566,6 @@ QUERIES = {
         common_services, period_contrast, daily_stats, fd_histogram, smoothed_series,
         outbreak_means, outbreak_labels, daily_grid, grid_gaps, slot_duplicates, holiday_days,
         holiday_span, unit_labels, rejected_text, clean_panel, clean_users, clean_hot_service,
-        long_intervals, sector_outbreaks, typed_text, weather_json, holiday_dimension,
+        long_intervals, sector_outbreaks, malformed_text, rewritten_panel, typed_text, weather_json, holiday_dimension,
     )
 }

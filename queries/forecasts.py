@@ -17,7 +17,7 @@ from queries.panels import (
 )
 from queries.shape import plain
 from slotcast.grid import DAILY, HOURLY, Grid
-from slotcast.operators import backtest, codes, features, linear, trees
+from slotcast.operators import backtest, chunks, codes, features, linear, smoothing, trees
 from slotcast.operators.features import BACK, HORIZONS, TARGETS, WEEKLY_LAGS
 from slotcast.plans import benchmarks
 
@@ -58,6 +58,39 @@ def same_hour_means(spark, sf):
     return plain(rows.select(*HOURLY.slot_columns, *features.SAME_HOUR))
 
 
+# Rows of a chunk in the queries below: a few weeks, so that series of a month are cut.
+CHUNK_ROWS = 700
+
+
+def chunked_lags(spark, sf):
+    """Lags and rolling means of series that are spread over chunks of rows."""
+    rows = chunks.with_lags_in_chunks(hourly_dense(spark, sf), HOURLY, CHUNK_ROWS)
+    return plain(rows.select(*HOURLY.slot_columns, "demand", *features.LAG_FEATURES))
+
+
+def chunked_sparse_lags(spark, sf):
+    """The same on a panel with gaps and undated rows: lags count rows across chunks."""
+    rows = chunks.with_lags_in_chunks(undated(spark, sf), DAILY, 100)
+    return plain(rows.filter(F.col("date").isNotNull()))
+
+
+def chunked_moving_mean(spark, sf):
+    """The mean of the last seven rows of each daily series, in chunks of rows."""
+    return plain(chunks.moving_mean_in_chunks(daily(spark, sf), 7, DAILY, 50))
+
+
+def exponential_means(spark, sf):
+    """Exponentially weighted means of three spans, from pairs by chunk."""
+    rows = smoothing.exponential_means(hourly_dense(spark, sf), size=100)
+    return plain(rows.select(*HOURLY.slot_columns, *smoothing.SPANS))
+
+
+def rolling_medians(spark, sf):
+    """Medians of 24 and 168 rows that end one row before the one-week lag."""
+    rows = smoothing.rolling_medians(hourly_dense(spark, sf))
+    return plain(rows.select(*HOURLY.slot_columns, *smoothing.MEDIANS))
+
+
 def sparse_lags(spark, sf):
     """Lags on a panel with gaps count rows."""
     return plain(features.with_lags(daily(spark, sf), DAILY))
@@ -116,6 +149,22 @@ def four_lag_weights(spark, sf):
     return plain(linear.weight_table(models, WEEKLY_LAGS, TARGETS), 3)
 
 
+# Training spans that end ever later, as the published ones do, and one that starts later.
+CUTS = {
+    "to 1998": ("1995-01-01", "1998-01-01"), "to mid 1999": ("1995-01-01", "1999-07-01"),
+    "to 2000": ("1995-01-01", "2000-01-01"), "since 1998": ("1998-01-01", None),
+}
+
+
+def cut_weights(spark, sf):
+    """Weights of the last four weeks of each series for four training spans, from one pass."""
+    rows = features.with_features(daily_dense(spark, sf), DAILY)
+    known = features.complete(rows, [*DAILY.keys, *WEEKLY_LAGS, *TARGETS])
+    models = linear.fit_spans(known, CUTS, WEEKLY_LAGS, TARGETS, DAILY.keys)
+    table = linear.weight_table(models, WEEKLY_LAGS, TARGETS, ["span", *DAILY.keys])
+    return plain(table, 4)
+
+
 def _linear(by_series, intercept):
     def query(spark, sf):
         return plain(benchmarks.linear_benchmark(
@@ -399,6 +448,38 @@ def benchmark_sql(by_series: bool, intercept: bool) -> str:
     return f"{linear_sql(by_series, intercept)}, {errors_sql('f', methods)} {COMPARE_SQL}"
 
 
+def ewm_sql(span: int) -> str:
+    """The weighted mean written out: every value times the weight it has left."""
+    a = f"(2::DOUBLE / {span + 1})"
+    window = "(PARTITION BY service_id, sector ORDER BY date, hour)"
+    return (
+        f"pow(1 - {a}, i) * sum(CASE WHEN i = 0 THEN demand ELSE {a} * demand / pow(1 - {a}, i) END) OVER {window}"
+    )
+
+
+def median_sql(rows: int) -> str:
+    frame = (
+        "(PARTITION BY service_id, sector ORDER BY date, hour "
+        f"ROWS BETWEEN {168 + rows} PRECEDING AND 169 PRECEDING)"
+    )
+    return f"CASE WHEN count(demand) OVER {frame} = {rows} THEN median(demand) OVER {frame} END"
+
+
+def cut_sql() -> str:
+    """One fit per span, each over its own rows."""
+    parts, keys = [], ["service_id", "sector"]
+    for name, (lo, hi) in CUTS.items():
+        where = " AND ".join([f"date >= DATE '{lo}'"] + [f"date < DATE '{hi}'"] * (hi is not None))
+        weights = " UNION ALL ".join(
+            f"SELECT '{name}' AS span, service_id, sector, 'w_plus_{t + 1}' AS horizon, '{f}' AS feature, "
+            f"round(w_{t}_{i}, 4) AS weight FROM ls" for t in range(5) for i, f in enumerate(WEEKLY_LAGS)
+        )
+        parts.append(f"""SELECT * FROM (WITH t4 AS (SELECT * FROM k2 WHERE {where}
+          AND {' IS NOT NULL AND '.join([*WEEKLY_LAGS, *TARGETS])} IS NOT NULL),
+        {least_squares_sql('t4', WEEKLY_LAGS, TARGETS, keys)} {weights})""")
+    return f"WITH {FEATURES_SQL} " + " UNION ALL ".join(parts)
+
+
 DATE_SQL = "CAST(date AS VARCHAR) AS date"
 
 ORACLES = {
@@ -408,6 +489,20 @@ ORACLES = {
     lag_24h, lag_48h, lag_72h FROM k""",
     "rolling_features": f"""{HOURLY_LAGS} SELECT {SLOT_SQL}, round(roll_mean_3h, 6) AS roll_mean_3h,
     round(roll_mean_6h, 6) AS roll_mean_6h, round(roll_mean_24h, 6) AS roll_mean_24h FROM k""",
+    "chunked_lags": f"""{HOURLY_LAGS}, s AS (SELECT *, {SAME_HOUR_SQL} FROM k)
+    SELECT {SLOT_SQL}, demand, {", ".join(f"round({c}, 6) AS {c}" for c in features.LAG_FEATURES)} FROM s""",
+    "chunked_moving_mean": f"""WITH {DAILY_SQL}
+    SELECT service_id, sector, CAST(date AS VARCHAR) AS date, demand, round(avg(demand) OVER (
+      PARTITION BY service_id, sector ORDER BY d.date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS moving_mean
+    FROM d""",
+    "exponential_means": f"""WITH {HOURLY_DENSE_SQL},
+    p AS (SELECT *, row_number() OVER s - 1 AS i FROM hd WINDOW s AS (PARTITION BY service_id, sector ORDER BY date, hour)),
+    e AS (SELECT *, {", ".join(f"{ewm_sql(n)} AS {name}" for name, n in smoothing.SPANS.items())} FROM p)
+    SELECT {SLOT_SQL}, {", ".join(f"round(lag({name}, 169) OVER s, 6) AS {name}" for name in smoothing.SPANS)}
+    FROM e WINDOW s AS (PARTITION BY service_id, sector ORDER BY e.date, e.hour)""",
+    "rolling_medians": f"""WITH {HOURLY_DENSE_SQL},
+    m AS (SELECT *, {", ".join(f"{median_sql(n)} AS {name}" for name, n in smoothing.MEDIANS.items())} FROM hd)
+    SELECT {SLOT_SQL}, {", ".join(f"round({name}, 6) AS {name}" for name in smoothing.MEDIANS)} FROM m""",
     "same_hour_means": f"""{HOURLY_LAGS}, s AS (SELECT *, {SAME_HOUR_SQL} FROM k)
     SELECT {SLOT_SQL}, {", ".join(f"round({c}, 6) AS {c}" for c in features.SAME_HOUR)} FROM s""",
     "sparse_lags": f"""WITH {DAILY_SQL}, k AS ({lags_sql('d', 'date', 1)}),
@@ -488,6 +583,11 @@ COUNT_ROWS_SQL = f"""{DAILY_DENSE_SQL},
 four_lag = ", ".join(f"{product_sql(WEEKLY_LAGS, h - 1)} AS p_w_plus_{h}_linear" for h in HORIZONS)
 
 ORACLES |= {
+    "cut_weights": cut_sql(),
+    "chunked_sparse_lags": f"""WITH {UNDATED_SQL}, k AS ({lags_sql('ud', 'date NULLS LAST', 1)}),
+    s AS (SELECT *, {SAME_HOUR_SQL} FROM k)
+    SELECT service_id, sector, {DATE_SQL}, demand,
+    {", ".join(f"round({c}, 6) AS {c}" for c in features.LAG_FEATURES)} FROM s WHERE date IS NOT NULL""",
     "undated_offsets": f"""WITH {UNDATED_SQL}, o AS ({offsets_sql('ud', BACK, HORIZONS)})
     SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM o""",
     "undated_lags": f"""WITH {UNDATED_SQL}, k AS ({lags_sql('ud', 'date NULLS LAST', 1)}),
@@ -538,7 +638,8 @@ QUERIES = {
         calendar_features, baseline_backtest, sparse_baseline, same_hour_backtest, baseline_rows,
         split_rows, four_lag_weights, linear_by_series_rows, forecast_sample, series_weights,
         top_weights, series_weights_intercept, top_weights_intercept, undated_offsets, undated_lags, gbt_forecast, poisson_forecast, model_comparison, gbt_search,
-        poisson_errors, three_way_errors,
+        poisson_errors, three_way_errors, chunked_lags, chunked_sparse_lags, chunked_moving_mean, exponential_means,
+        rolling_medians, cut_weights,
     )
 } | {
     "linear_global": _linear(False, False),
