@@ -134,6 +134,12 @@ def statistics(documents: DataFrame) -> DataFrame:
 
 
 def keep_good(documents: DataFrame, model: RuleEnsemble, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``documents`` whose score reaches the threshold."""
+    """The rows of ``documents`` whose score reaches the threshold.
+
+    The score stands in a projection with a serial number, which Spark moves no
+    filter below: statistics are worked out once per row, not once per rule.
+    """
     rows = with_statistics(documents, F.struct("*").alias("row"))
-    return rows.filter(model.expression() >= threshold).select("kept.row.*")
+    serial = F.monotonically_increasing_id().alias("serial")
+    scored = rows.select("kept", "s", serial).select("kept", "serial", model.expression().alias("score"))
+    return scored.filter((F.col("serial") >= 0) & (F.col("score") >= threshold)).select("kept.row.*")
