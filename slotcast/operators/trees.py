@@ -9,8 +9,9 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, GeneralizedLinearRegression
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from slotcast.functions.checkpoints import with_checkpoint_folder
 from slotcast.functions.rows import not_negative
@@ -75,17 +76,10 @@ def squared_trees(params: TreeParams, target: str) -> GBTRegressor:
     )
 
 
-def forecast_squared(
-    train: DataFrame,
-    test: DataFrame,
-    features: Sequence[str],
-    params: TreeParams = SQUARED,
-    horizons: Sequence[int] = HORIZONS,
-    method: str = "trees",
-    clip: bool = True,
-) -> DataFrame:
-    """Add a forecast of one squared-error model per horizon, not below 0 where ``clip``."""
-    targets = [ahead(h) for h in horizons]
+def fit_squared(
+    train: DataFrame, features: Sequence[str], targets: Sequence[str], params: TreeParams = SQUARED
+) -> dict[str, GBTRegressionModel]:
+    """One squared-error model per target column."""
     spark = with_checkpoint_folder(train.sparkSession)
     rows = assemble(train, features).select(VECTOR, *targets)
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
@@ -93,15 +87,56 @@ def forecast_squared(
         spark, lambda t: squared_trees(params, t).fit(complete(rows, [t])), targets
     )
     rows.unpersist()
-    out = assemble(test, features)
-    for h, model in zip(horizons, models):
-        out = model.setPredictionCol(predicted(h, method)).transform(out)
+    return dict(zip(targets, models))
+
+
+def save_models(models: Mapping[str, GBTRegressionModel], folder: str) -> None:
+    """Keeps the model of each target in a folder of its own below ``folder``,
+    which all machines share; models kept there before are replaced."""
+    for target, model in models.items():
+        model.write().overwrite().save(f"{folder}/{target}")
+
+
+def load_models(folder: str, targets: Sequence[str]) -> dict[str, GBTRegressionModel]:
+    """The models that ``save_models`` has kept, with no fit."""
+    return {t: GBTRegressionModel.load(f"{folder}/{t}") for t in targets}
+
+
+def with_forecasts(
+    df: DataFrame, models: Mapping[str, GBTRegressionModel], features: Sequence[str],
+    names: Mapping[str, str], clip: bool = True,
+) -> DataFrame:
+    """``df`` with the forecast of each target under its name, not below 0 where
+    ``clip``. Rows that lack a feature are left out."""
+    out = assemble(df, features)
+    for target, model in models.items():
+        out = model.setPredictionCol(names[target]).transform(out)
     if clip:
-        names = [predicted(h, method) for h in horizons]
-        out = out.withColumns({name: not_negative(name) for name in names})
+        out = out.withColumns({names[t]: not_negative(names[t]) for t in models})
     return out.drop(VECTOR)
 
 
+def forecast_squared(
+    train: DataFrame,
+    test: DataFrame,
+    features: Sequence[str],
+    params: TreeParams = SQUARED,
+    horizons: Sequence[int] = HORIZONS,
+    method: str = "trees",
+    clip: bool = True,
+    folder: str | None = None,
+) -> DataFrame:
+    """Add a forecast of one squared-error model per horizon, not below 0 where
+    ``clip``. With a shared ``folder`` the models are kept there and read back, so
+    that later forecasts can use them (``load_models``, ``with_forecasts``)."""
+    names = {ahead(h): predicted(h, method) for h in horizons}
+    models = fit_squared(train, features, list(names), params)
+    if folder is not None:
+        save_models(models, folder)
+        models = load_models(folder, list(names))
+    return with_forecasts(test, models, features, names, clip)
+
+
 def forecast_counts(
     train: DataFrame,
     test: DataFrame,
@@ -164,21 +199,31 @@ def best_round(curve: Sequence[float], patience: int) -> int:
 
 @dataclass(frozen=True)
 class Candidate:
-    """Settings with the best number of trees, their error, and the trees fitted to find it."""
+    """Settings with the best number of trees, the error of forecasts not below 0
+    with so many trees, and the trees fitted to find it."""
 
     params: TreeParams
     mae: float
     fitted: int
 
 
+def clipped_error(model: GBTRegressionModel, check: DataFrame, target: str) -> float:
+    """Mean absolute error of the model's forecasts, raised to 0 where below."""
+    guess = not_negative("_guess")
+    scored = model.setPredictionCol("_guess").transform(check)
+    return scored.agg(F.avg(F.abs(F.col(target) - guess))).first()[0]
+
+
 def staged(
     fit_rows: DataFrame, check: DataFrame, target: str, params: TreeParams, patience: int
 ) -> Candidate:
     """Fits ``patience`` trees, then twice as many and so on up to
     ``params.maxIter``, and stops when the best round lies ``patience`` back.
 
-    Fits with one seed share their leading trees, so the answer is that of the
-    full fit, for less than four times the trees up to the stop.
+    The round is that of the lowest error before clipping, the candidate's error
+    that of the model cut there, after clipping. Fits with one seed share their
+    leading trees, so the answer is that of the full fit, for less than five times
+    the trees up to the stop.
     """
     trees, fitted = min(params.maxIter, max(1, patience)), 0
     while True:
@@ -187,8 +232,13 @@ def staged(
         curve = model.evaluateEachIteration(check, "absolute")
         best = best_round(curve, patience)
         if trees >= params.maxIter or trees - best >= patience:
-            return Candidate(replace(params, maxIter=best), curve[best - 1], fitted)
+            break
         trees = min(2 * trees, params.maxIter)
+    chosen = replace(params, maxIter=best)
+    if best < trees:
+        model = squared_trees(chosen, target).fit(fit_rows)
+        fitted += best
+    return Candidate(chosen, clipped_error(model, check, target), fitted)
 
 
 def search(
@@ -202,8 +252,8 @@ def search(
     seed: int = 42,
     space: Mapping[str, Sequence[float]] = SEARCH_SPACE,
 ) -> list[Candidate]:
-    """Random search, best candidate first, by mean absolute error on the
-    validation rows at each candidate's best number of trees."""
+    """Random search, best candidate first, by mean absolute error of clipped
+    forecasts of the validation rows at each candidate's best number of trees."""
     columns = (VECTOR, target)
     spark = with_checkpoint_folder(train.sparkSession)
     fit_rows = assemble(complete(train, [target]), features).select(*columns)
@@ -237,10 +287,12 @@ def refit(
     target: str,
     params: TreeParams,
     name: str = "prediction",
+    folder: str | None = None,
 ) -> DataFrame:
-    """Fit on all training rows with the chosen settings and forecast the test rows."""
-    with_checkpoint_folder(train.sparkSession)
-    rows = assemble(complete(train, [target]), features).select(VECTOR, target)
-    model = squared_trees(params, target).fit(rows).setPredictionCol(name)
-    scored = model.transform(assemble(test, features))
-    return scored.withColumn(name, not_negative(name)).drop(VECTOR)
+    """Fit on all training rows with the chosen settings and forecast the test
+    rows. With a shared ``folder`` the model is kept there."""
+    models = fit_squared(train, features, [target], params)
+    if folder is not None:
+        save_models(models, folder)
+        models = load_models(folder, [target])
+    return with_forecasts(test, models, features, {target: name})

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from slotcast.functions.checkpoints import checkpointed
 from slotcast.grid import HOURLY, Grid
 from slotcast.operators.backtest import (
     Span,
@@ -136,10 +137,12 @@ def tree_benchmark(
     grid: Grid = HOURLY,
     params: TreeParams = SQUARED,
     horizons: Sequence[int] = HORIZONS,
+    folder: str | None = None,
 ) -> DataFrame:
-    """Errors per horizon of the three-week mean and of squared-error trees."""
+    """Errors per horizon of the three-week mean and of squared-error trees. With
+    a shared ``folder`` the models are kept there."""
     train, test = linear_rows(panel, spans, grid)
-    forecast = forecast_squared(train, test, linear_features(grid), params, horizons)
+    forecast = forecast_squared(train, test, linear_features(grid), params, horizons, folder=folder)
     scores = score(with_same_hour_mean(forecast), ["baseline", "trees"], horizons)
     return compare(scores, "baseline", ["trees"])
 
@@ -149,14 +152,15 @@ def tree_rows(
 ) -> tuple[DataFrame, ...]:
     """Rows with the tree inputs, the recursive mean and the targets. With
     ``drop_before_lag`` rows without all offsets are left out before lags
-    count rows, as some published comparisons do."""
+    count rows, as some published comparisons do. They are worked out once, into a
+    checkpoint that the spans, models and scores of a comparison read."""
     if drop_before_lag:
         known = complete(with_offsets(panel, grid), OFFSETS)
         rows = with_calendar(with_lags(with_codes(known, CODES), grid), grid)
     else:
         rows = complete(with_model_features(panel, grid), OFFSETS)
     needed = [*grid.keys, *tree_features(grid), *TARGETS]
-    rows = complete(with_recursive_mean(rows, grid), needed)
+    rows = checkpointed(complete(with_recursive_mean(rows, grid), needed))
     return split(rows, spans.train, spans.test, date=grid.date, embargo_days=spans.embargo_days)
 
 
@@ -179,20 +183,24 @@ def count_benchmark(
     return compare(score(forecast, ["baseline", "counts"], horizons), "baseline", ["counts"])
 
 
-def three_way_forecast(
-    panel: DataFrame,
-    spans: Spans = EARLY_CUT,
+def with_three_forecasts(
+    train: DataFrame,
+    test: DataFrame,
     grid: Grid = HOURLY,
     horizons: Sequence[int] = HORIZONS,
-    drop_before_lag: bool = True,
     features: Sequence[str] | None = None,
+    trees: TreeParams | None = None,
+    folder: str | None = None,
 ) -> DataFrame:
-    """Test rows with the recursive mean, least squares on the last four weeks
-    and Poisson regression."""
-    train, test = tree_rows(panel, spans, grid, drop_before_lag)
+    """Test rows of ``tree_rows`` with least squares on the last four weeks and
+    Poisson regression beside the recursive mean; with ``trees`` also squared-error
+    trees on all inputs, kept in ``folder``."""
     models = fit(train, WEEKLY_LAGS, [ahead(h) for h in horizons])
     linear = predict(test, models, WEEKLY_LAGS, horizons, method="linear")
-    return forecast_counts(train, linear, features or count_features(grid), horizons)
+    counts = forecast_counts(train, linear, features or count_features(grid), horizons)
+    if trees is None:
+        return counts
+    return forecast_squared(train, counts, tree_features(grid), trees, horizons, folder=folder)
 
 
 def three_way_benchmark(
@@ -202,10 +210,13 @@ def three_way_benchmark(
     horizons: Sequence[int] = HORIZONS,
     drop_before_lag: bool = True,
     features: Sequence[str] | None = None,
+    trees: TreeParams | None = None,
+    folder: str | None = None,
 ) -> DataFrame:
-    """Errors per horizon of the three forecasts."""
-    forecast = three_way_forecast(panel, spans, grid, horizons, drop_before_lag, features)
-    methods = ["baseline", "linear", "counts"]
+    """Errors per horizon of the three forecasts, and of trees where asked for."""
+    train, test = tree_rows(panel, spans, grid, drop_before_lag)
+    forecast = with_three_forecasts(train, test, grid, horizons, features, trees, folder)
+    methods = ["baseline", "linear", "counts", *(["trees"] if trees is not None else [])]
     return compare(score(forecast, methods, horizons), "baseline", methods[1:])
 
 
@@ -218,14 +229,16 @@ def year_backtest(
     candidates: int = 10,
     patience: int = 100,
     base: TreeParams = TreeParams(maxIter=3000),
+    folder: str | None = None,
 ) -> tuple[list[Candidate], DataFrame]:
     """Search settings on the validation span, refit on both earlier spans, and
-    give the errors of the test span beside the candidates tried."""
+    give the errors of the test span beside the candidates tried. With a shared
+    ``folder`` the refitted model is kept there."""
     features = backtest_features(grid)
     rows = complete(with_model_features(panel, grid), [*features, grid.value])
     fit_rows, check, held = split(rows, train, validation, test, date=grid.date)
     tried = search(fit_rows, check, features, grid.value, candidates, patience, base)
     whole = in_span(rows, (train[0], validation[1]), grid.date)
-    scored = refit(whole, held, features, grid.value, tried[0].params)
+    scored = refit(whole, held, features, grid.value, tried[0].params, folder=folder)
     figures = errors(scored[grid.value], scored["prediction"])
     return tried, scored.agg(*[c.alias(name) for name, c in figures.items()])

@@ -231,8 +231,10 @@ def test_staged_and_full_fits_choose_the_same_round(spark):
     for patience in (2, 5):
         found = trees.staged(fit_rows, check, "y", params, patience)
         assert found.params.maxIter == trees.best_round(full, patience)
-        assert found.mae == pytest.approx(full[found.params.maxIter - 1])
-        assert found.fitted < 4 * (found.params.maxIter + patience)
+        cut = trees.squared_trees(found.params, "y").fit(fit_rows)
+        assert cut.evaluateEachIteration(check, "absolute")[-1] == pytest.approx(full[found.params.maxIter - 1])
+        assert found.mae == pytest.approx(trees.clipped_error(cut, check, "y"))
+        assert found.fitted < 5 * (found.params.maxIter + patience)
 
 
 def test_search_draws():
