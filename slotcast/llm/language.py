@@ -8,7 +8,10 @@ from its first to its last byte, taken ``BATCH`` at a time, and its probability
 of a language is the mean over its windows, weighted by their bytes.
 
 Training sees at most ``MOST`` labelled documents of each language, the first in
-hash order of their ids, and ``WINDOWS`` windows of each, spread over the text.
+hash order of their ids, and ``WINDOWS`` windows of each, spread over the text. The
+output layer has one column per language; more than ``LANGUAGES`` of them end the
+job, so what reaches the driver is bounded. A text of any length is read whole, a
+bounded number of windows at a time.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 null ids and repeated rows are judged like any other row; rows without a
@@ -34,6 +37,7 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBEDDING = 8
 MOST, WINDOWS = 600, 4
+LANGUAGES = 512
 BATCH = 512
 UNKNOWN = "und"
 
@@ -141,6 +145,8 @@ def fit(documents: DataFrame) -> ByteNet | None:
         documents.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id").agg(F.min("lang").alias("label"))
     )
+    if documents.filter(F.col("lang").isNotNull()).select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages to learn")
     chosen = training_rows(documents, known, F.lit(MOST))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,12 +4,13 @@ A word is the mean of the embeddings of its character n-grams (hashed into
 ``BUCKETS`` rows), so a misspelling shares most of its vectors with the word. A
 window of words is the mean of its words and goes into a linear softmax over
 clean and toxic; embeddings and softmax are trained jointly in numpy. A
-document has the score of its most toxic window, over all windows of the whole
-text, so a passage counts the same in a short and a long text.
+document has the score of its most toxic window, over the windows from every word
+of the whole text, so a passage counts the same in a short and a long text and
+wherever it starts.
 
 Training sees at most ``MOST_TOXIC`` and ``MOST_CLEAN`` labelled documents, the
-first in hash order of their ids, and ``WINDOWS`` windows of each, spread over
-the text. As a label says only that some window is toxic, the second half of
+first in hash order of their ids, and ``WINDOWS`` windows of each, spread over the
+text. As a label says only that some window is toxic, the second half of
 the training takes of each toxic document its most toxic windows.
 
 Defined results: a null or empty text, or one without words, scores as a window
@@ -67,10 +68,8 @@ def gram_ids(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def windows(n: int) -> np.ndarray:
-    """First word of every window of a text of ``n`` words; neighbours overlap by half."""
-    if n <= WORDS:
-        return np.zeros(1, np.int64)
-    return np.append(np.arange(0, n - WORDS, WORDS // 2), n - WORDS)
+    """First word of every window of a text of ``n`` words."""
+    return np.arange(max(1, n - WORDS + 1))
 
 
 def _sums(values: np.ndarray, groups: np.ndarray, size: int) -> np.ndarray:
@@ -110,6 +109,30 @@ class SubwordBag:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, float(best)))))
 
 
+def window_slopes(
+    params: tuple[np.ndarray, np.ndarray, np.ndarray], grams: tuple[np.ndarray, np.ndarray, np.ndarray],
+    words: np.ndarray, bag: np.ndarray, over: np.ndarray, labels: np.ndarray, weight: np.ndarray,
+) -> tuple[float, list[np.ndarray]]:
+    """Weighted softmax loss of some windows and its slopes by embeddings, softmax and bias.
+
+    ``grams`` are bucket and word of every n-gram and their number per word;
+    ``words`` and ``bag`` the words of the windows, ``over`` what a window's sum is divided by.
+    """
+    (embed, linear, bias), (ids, of, per_word) = params, grams
+    vectors = _sums(embed[ids], of, len(per_word)) / per_word[:, None]
+    mean = _sums(vectors[words], bag, len(labels)) / over
+    z = mean @ linear + bias
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    share, place = weight / weight.sum(), np.arange(len(labels))
+    loss = -float((share * np.log(np.maximum(p[place, labels], 1e-300))).sum())
+    p[place, labels] -= 1
+    p *= share[:, None]
+    back = (p @ linear.T) / over
+    to_word = _sums(back[bag], words, len(per_word)) / per_word[:, None]
+    return loss, [_sums(to_word[of], ids, len(embed)), mean.T @ p, p.sum(axis=0)]
+
+
 def train(bags: list[list[bytes]], labels: np.ndarray, documents: np.ndarray, rounds: int = 24, clean: float = 0.8, seed: int = 8) -> SubwordBag | None:
     """Fits windows (word lists) of documents with labels 0 and 1 by Adam on the softmax loss."""
     if len(set(labels.tolist())) < 2:
@@ -128,33 +151,24 @@ def train(bags: list[list[bytes]], labels: np.ndarray, documents: np.ndarray, ro
     weight = np.where(labels == 1, (1 - clean) / share, clean / (1 - share))
     use, step = np.ones(len(bags), bool), 0
 
-    def logits(rows: np.ndarray, vectors: np.ndarray):
+    def parts(rows: np.ndarray):
+        """Words of some windows, the window of each, and what its sum is divided by."""
         spans = [np.arange(ends[r] - sizes[r], ends[r]) for r in rows]
         words = flat[np.concatenate(spans)] if len(spans) else flat[:0]
-        bag = np.repeat(np.arange(len(rows)), sizes[rows])
-        over = np.maximum(sizes[rows], LEAST)[:, None]
-        mean = _sums(vectors[words], bag, len(rows)) / over
-        return words, bag, over, mean, mean @ linear + bias
+        return words, np.repeat(np.arange(len(rows)), sizes[rows]), np.maximum(sizes[rows], LEAST)[:, None]
 
     for turn in range(rounds):
         if turn >= rounds // 2:
             vectors = _sums(embed[ids], of, len(number)) / per_word[:, None]
-            z = logits(np.arange(len(bags)), vectors)[-1]
+            words, bag, over = parts(np.arange(len(bags)))
+            z = _sums(vectors[words], bag, len(bags)) / over @ linear + bias
             margin = z[:, 1] - z[:, 0]
             top = np.full(documents.max() + 1, -np.inf)
             np.maximum.at(top, documents, margin)
             use = (labels == 0) | (margin >= np.maximum(top[documents] - 1.0, 0) - 1e-9) | (margin >= top[documents])
         for rows in np.array_split(rng.permutation(np.flatnonzero(use)), max(2, int(use.sum()) // 8192)):
             step += 1
-            vectors = _sums(embed[ids], of, len(number)) / per_word[:, None]
-            words, bag, over, mean, z = logits(rows, vectors)
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(rows)), labels[rows]] -= 1
-            p *= (weight[rows] / weight[rows].sum())[:, None]
-            back = (p @ linear.T) / over
-            to_word = _sums(back[bag], words, len(number)) / per_word[:, None]
-            grads = [_sums(to_word[of], ids, BUCKETS) , mean.T @ p, p.sum(axis=0)]
+            grads = window_slopes((embed, linear, bias), (ids, of, per_word), *parts(rows), labels[rows], weight[rows])[1]
             # rare n-grams move less than in plain Adam: the floor is the usual slope of all that occur
             for i, (param, grad) in enumerate(zip((embed, linear, bias), grads)):
                 slope[i] += 0.1 * (grad - slope[i])

@@ -1,0 +1,197 @@
+"""Models against plain forward passes and numeric gradients."""
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from slotcast.llm import language, quality, store, toxicity
+from tests.llm import data
+
+MASK = 2**64 - 1
+
+
+def forward(net, row):
+    """Probabilities of one window of bytes, byte by byte."""
+    p = net.params
+    pooled = []
+    for w in language.WIDTHS:
+        for f in range(language.FILTERS):
+            best = -math.inf
+            for at in range(len(row) - w + 1):
+                total = 0.0
+                for k in range(w):
+                    for d in range(language.EMBEDDING):
+                        total += float(p["embed"][row[at + k], d]) * float(p[f"w{w}"][k * language.EMBEDDING + d, f])
+                best = max(best, total)
+            pooled.append(max(0.0, best + float(p[f"b{w}"][f])))
+    z = [sum(x * float(p["out"][i, c]) for i, x in enumerate(pooled)) + float(p["bias"][c]) for c in range(len(net.languages))]
+    e = [math.exp(v - max(z)) for v in z]
+    return [v / sum(e) for v in e]
+
+
+def random_net(seed, languages=("de", "en", "fr")):
+    net = language.ByteNet(list(languages), seed)
+    rng = np.random.default_rng(seed)
+    net.params = {k: v.astype(np.float64) for k, v in net.params.items()}
+    for w in language.WIDTHS:
+        net.params[f"b{w}"] = rng.normal(0, 0.3, language.FILTERS)
+    net.params["bias"] = rng.normal(0, 0.3, len(languages))
+    return net
+
+
+def test_forward_pass_of_the_net():
+    net = random_net(1)
+    rows = np.random.default_rng(1).integers(0, 256, (3, 24)).astype(np.uint8)
+    assert np.allclose(net.predict(rows), [forward(net, r) for r in rows])
+
+
+def test_slopes_of_the_net():
+    net = random_net(2)
+    rng = np.random.default_rng(2)
+    rows, labels, weights = rng.integers(1, 256, (5, 20)).astype(np.uint8), np.array([0, 1, 2, 1, 0]), rng.random(5) + 0.5
+
+    def loss():
+        p = net.predict(rows)
+        return -(weights / weights.sum() * np.log(p[np.arange(5), labels])).sum()
+
+    grads = net.slopes(rows, labels, weights)
+    for name, param in net.params.items():
+        spots = [tuple(rng.integers(0, n) for n in param.shape) for _ in range(25)]
+        if name == "embed":
+            spots = [(int(rows[i % 5, i % 20]), i % language.EMBEDDING) for i in range(25)]
+        for spot in spots:
+            keep, e = param[spot], 1e-6
+            param[spot] = keep + e
+            up = loss()
+            param[spot] = keep - e
+            down = loss()
+            param[spot] = keep
+            assert grads[name][spot] == pytest.approx((up - down) / (2 * e), abs=1e-6), (name, spot)
+
+
+def test_detected_languages_by_windows(spark):
+    net = random_net(3)
+    texts = ["Kurz", "long text " * 60, "é𝄞 Ünï " * 40, "12 34", None, ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in language.detect(frame, net).collect():
+        text = texts[r["doc_id"]]
+        if not any(c.isalpha() for c in text or ""):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        raw, total, n = text.lower().encode(), np.zeros(3), 0
+        for at in range(0, len(raw), language.WINDOW):
+            part = raw[at : at + language.WINDOW]
+            row = np.frombuffer(part + bytes(language.WINDOW - len(part)), np.uint8)
+            total += np.array(forward(net, row)) * len(part)
+            n += len(part)
+        assert r["lang_pred"] == net.languages[int(total.argmax())]
+        assert r["score"] == pytest.approx(total.max() / n)
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 1)
+    with pytest.raises(ValueError, match="languages"):
+        language.fit(data.documents(spark))
+
+
+def word_value(weights, word):
+    """Mean weight of the n-grams of a word, one by one."""
+    marked = b"<" + (word.strip(b"*$%&#'-") or word) + b">"
+    values = []
+    for n in toxicity.GRAMS:
+        for at in range(len(marked) - n + 1):
+            total = 0
+            for byte in marked[at : at + n]:
+                total = (total * 0x100000001B3 + byte) & MASK
+            values.append(weights[((((total + n) & MASK) * 0x9E3779B97F4A7C15 & MASK) >> 40) % toxicity.BUCKETS])
+    return sum(values) / max(1, len(values))
+
+
+def plain_toxicity(model, text):
+    words = toxicity.tokens(text)
+    if not words:
+        return 0.0
+    values = [word_value(model.weights, w) for w in words]
+    best = -math.inf
+    for at in range(max(1, len(words) - toxicity.WORDS + 1)):
+        own = values[at : at + toxicity.WORDS]
+        best = max(best, sum(own) / max(len(own), toxicity.LEAST))
+    return 1 / (1 + math.exp(-(best + model.bias)))
+
+
+def test_toxicity_by_windows():
+    rng = np.random.default_rng(4)
+    model = toxicity.SubwordBag(rng.normal(0, 3, toxicity.BUCKETS), -1.0)
+    for n in (0, 1, 2, 3, 4, 5, 6, 9, 40, 200):
+        text = data.prose(n, n) + " $h!t é𝄞" * (n % 2)
+        assert model.score(text) == pytest.approx(plain_toxicity(model, text), abs=1e-9)
+
+
+def test_a_leading_word_flips_nothing():
+    """Windows start at every word, so a toxic passage counts wherever it begins."""
+    rng = np.random.default_rng(5)
+    model = toxicity.SubwordBag(rng.normal(0, 3, toxicity.BUCKETS), -1.0)
+    for seed in range(30):
+        text = data.prose(seed, 25)
+        score = model.score(text)
+        for lead in ("ka", "ka lo", "ka lo mi"):
+            assert model.score(f"{lead} {text}") >= score - 1e-12
+
+
+def test_slopes_of_the_bags():
+    rng = np.random.default_rng(6)
+    vocabulary = [w.encode() for w in data.prose(6, 12).split()]
+    ids, of = toxicity.gram_ids(vocabulary)
+    buckets, ids = np.unique(ids, return_inverse=True)
+    grams = ids, of, np.maximum(np.bincount(of, minlength=len(vocabulary)), 1)
+    params = rng.normal(0, 0.5, (len(buckets), 4)), rng.normal(0, 0.5, (4, 2)), rng.normal(0, 0.5, 2)
+    sizes = np.array([4, 1, 3, 4])
+    words, bag = rng.integers(0, len(vocabulary), sizes.sum()), np.repeat(np.arange(4), sizes)
+    rest = words, bag, np.maximum(sizes, toxicity.LEAST)[:, None], np.array([0, 1, 1, 0]), rng.random(4) + 0.1
+    _, grads = toxicity.window_slopes(params, grams, *rest)
+    for param, grad in zip(params, grads):
+        for spot in [tuple(rng.integers(0, n) for n in param.shape) for _ in range(30)]:
+            keep, e = param[spot], 1e-6
+            param[spot] = keep + e
+            up = toxicity.window_slopes(params, grams, *rest)[0]
+            param[spot] = keep - e
+            down = toxicity.window_slopes(params, grams, *rest)[0]
+            param[spot] = keep
+            assert grad[spot] == pytest.approx((up - down) / (2 * e), abs=1e-7)
+
+
+def test_rules_row_by_row(spark):
+    """The compiled column equals the rules applied in Python."""
+    docs, labels = data.documents(spark), data.labels(spark)
+    with store.owned(spark):
+        known = quality.statistics(docs)
+        fitted = quality.fit(known, labels)
+        made = [
+            ((("words", True, 3.0),), 0.7), ((("upper", False, 0.1), ("word_length", True, 6.0)), -1.3),
+            ((("symbols", False, 0.0),), 2.0), ((("line_words", False, 5.0), ("line_words", True, 50.0), ("stops", True, 0.0)), 0.25),
+        ]
+        for model in (fitted, quality.RuleEnsemble(made, -0.4)):
+            rows = known.select("s", model.expression().alias("score")).collect()
+            assert len({round(r["score"], 9) for r in rows}) > 1
+            for r in rows:
+                total = model.intercept
+                for rule, weight in model.rules:
+                    if all(r["s"][name] <= bound if at_most else r["s"][name] > bound for name, at_most, bound in rule):
+                        total += weight
+                assert r["score"] == pytest.approx(1 / (1 + math.exp(-total)))
+
+
+@pytest.mark.parametrize("parts", [1, 7, 256])
+def test_first_documents_of_a_label_whatever_the_parts(spark, parts):
+    """Two steps choose what one ranking of all ids of a label chooses."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    labelled = docs.select("doc_id", F.when(F.col("doc_id") % 50 == 0, 1).otherwise(0).alias("label"))
+    order = docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()
+    want = set()
+    for label in (0, 1):
+        own = sorted((r["h"], r["doc_id"]) for r in order if (r["doc_id"] % 50 == 0) == (label == 1))
+        want |= {(label, f"t{i}") for _, i in own[:40]}
+    got = store.training_rows(docs, labelled, F.lit(40), parts).collect()
+    assert {tuple(r) for r in got} == want and len(got) == 80
