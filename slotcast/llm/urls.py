@@ -9,7 +9,9 @@ member, block if a rule blocks one, allow otherwise. A page's own rule always
 stands. Targets count as members even if they are no pages themselves.
 
 An address is told apart by its host (A-Z lower-cased), path and query; scheme
-and fragment play no part.
+and fragment play no part, and no path is the path ``/``. Targets may be relative
+in any way: to the page, its folder, its host, its scheme, with dots, a query or a
+fragment alone. Other schemes than ``name://`` lead to no address.
 
 Defined results: a null url, or one without ``://``, has empty host and path, no
 rule and no aliases, and is allowed; null html has no links; of equally long
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotcast.llm.components import components
-from slotcast.llm.store import stored
+from slotcast.llm.store import settled, stored
 
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?"
 _LINK = r"(?is)<(?:link|meta)\b[^>]*>"
@@ -44,21 +46,53 @@ def path_of(url: Column) -> Column:
 
 
 def address_of(url: Column) -> Column:
-    """What tells addresses apart; null where there is no host."""
-    rest = F.regexp_extract(url, _PARTS, 3)
+    """What tells addresses apart; null where there is no host. An empty path is ``/``."""
+    path, rest = path_of(url), F.regexp_extract(url, _PARTS, 3)
     host = host_of(url)
-    return F.when(host != "", F.concat(host, path_of(url), rest))
+    return F.when(host != "", F.concat(host, F.when(path == "", "/").otherwise(path), rest))
+
+
+def without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` segments worked out: ``.`` goes, ``..`` goes
+    with the segment before it, and either at the end leaves a folder."""
+    parts = F.split(path, "/", -1)
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda seen, p: F.when(p == ".", seen)
+        .when(p == "..", F.slice(seen, 1, F.greatest(F.size(seen) - 1, F.lit(1))))
+        .otherwise(F.concat(seen, F.array(p))),
+    )
+    folder = F.when(last.isin(".", ".."), "/").otherwise("")
+    plain = F.concat(F.array_join(kept, "/"), folder)
+    return F.when(~path.rlike(r"(^|/)\.\.?(/|$)"), path).when(plain.startswith("/"), plain).otherwise(F.concat(F.lit("/"), plain))
 
 
 def absolute(target: Column, url: Column) -> Column:
-    """A link target as it stands in the page at ``url``."""
-    scheme = F.regexp_extract(url, r"(?s)^(.*?://)", 1)
-    folder = F.regexp_replace(path_of(url), r"[^/]*$", "")
+    """A link target as it stands in the page at ``url``: references are resolved
+    as the standard of addresses says (RFC 3986, section 5)."""
+    scheme, host, path = F.regexp_extract(url, r"(?s)^(.*?://)", 1), host_of(url), path_of(url)
+    own_query = F.regexp_extract(url, _PARTS, 3)
+    to_path, query = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(\?[^#]*)", 1)
+    folder = F.regexp_replace(path, r"[^/]*$", "")
+    merged = F.when(to_path.startswith("/"), to_path).otherwise(
+        F.concat(F.when(folder == "", "/").otherwise(folder), to_path)
+    )
+    base = F.concat(scheme, host)
+    relative = (
+        F.when((to_path == "") & (query == ""), F.concat(base, path, own_query))
+        .when(to_path == "", F.concat(base, path, query))
+        .otherwise(F.concat(base, without_dots(merged), query))
+    )
+    whole = F.concat(
+        F.regexp_extract(target, r"(?s)^([^:/?#]+://[^/?#]*)", 1),
+        without_dots(path_of(target)), F.regexp_extract(target, _PARTS, 3),
+    )
     return (
-        F.when(target.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://"), target)
-        .when(target.startswith("//"), F.concat(F.lit("http:"), target))
-        .when(target.startswith("/"), F.concat(scheme, host_of(url), target))
-        .otherwise(F.concat(scheme, host_of(url), F.when(folder == "", "/").otherwise(folder), target))
+        F.when(target.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://"), whole)
+        .when(target.startswith("//"), F.concat(F.regexp_extract(url, r"(?s)^(.*?:)//", 1), target))
+        .when(target.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .otherwise(relative)
     )
 
 
@@ -108,6 +142,10 @@ def judge(pages: DataFrame, rules: DataFrame, links: DataFrame | None = None) ->
     ``rules`` has rows (rule, verdict): ``host/prefix`` and allow or block.
     ``links`` (a, b), urls, are redirects known from elsewhere.
     """
+    return settled(pages.sparkSession, lambda: _judged(pages, rules, links))
+
+
+def _judged(pages: DataFrame, rules: DataFrame, links: DataFrame | None) -> DataFrame:
     url = F.col("url")
     edges = alias_links(pages)
     if links is not None:

@@ -67,6 +67,45 @@ def test_language_query(spark):
     assert sum(right) >= 0.98 * len(right)
 
 
+RESOLVED = [
+    # page, target, address; the first ones are the examples of RFC 3986, section 5.4
+    *[("http://a/b/c/d;p?q", t, w) for t, w in [
+        ("g", "a/b/c/g"), ("./g", "a/b/c/g"), ("g/", "a/b/c/g/"), ("/g", "a/g"), ("//g", "g/"), ("?y", "a/b/c/d;p?y"),
+        ("g?y", "a/b/c/g?y"), ("#s", "a/b/c/d;p?q"), ("g#s", "a/b/c/g"), ("g?y#s", "a/b/c/g?y"), (";x", "a/b/c/;x"),
+        ("g;x?y#s", "a/b/c/g;x?y"), (".", "a/b/c/"), ("./", "a/b/c/"), ("..", "a/b/"), ("../", "a/b/"), ("../g", "a/b/g"),
+        ("../..", "a/"), ("../../", "a/"), ("../../g", "a/g"), ("../../../g", "a/g"), ("../../../../g", "a/g"),
+        ("/./g", "a/g"), ("/../g", "a/g"), ("g.", "a/b/c/g."), (".g", "a/b/c/.g"), ("g..", "a/b/c/g.."), ("..g", "a/b/c/..g"),
+        ("./../g", "a/b/g"), ("./g/.", "a/b/c/g/"), ("g/./h", "a/b/c/g/h"), ("g/../h", "a/b/c/h"), ("g;x=1/./y", "a/b/c/g;x=1/y"),
+        ("g;x=1/../y", "a/b/c/y"), ("g?y/./x", "a/b/c/g?y/./x"), ("g?y/../x", "a/b/c/g?y/../x"), ("mailto:x@y", None),
+    ]],
+    ("http://h.com", "http://h.com/", "h.com/"), ("http://h.com", "x", "h.com/x"), ("http://h.com", "?id=3", "h.com/?id=3"),
+    ("http://a.com/p", "?id=3", "a.com/p?id=3"), ("http://a.com/p/q?z#f", "../d", "a.com/d"), ("http://a.com/p/q", "./d", "a.com/p/d"),
+    ("https://A.com/p", "HTTP://B.Com/x/../Y", "b.com/Y"), ("http://a.com/x/../y", "", "a.com/x/../y"), ("http://a.com/é/ü", "../ß?ö", "a.com/ß?ö"),
+]
+
+
+def test_resolved_addresses(spark):
+    frame = spark.createDataFrame([(i, u, t) for i, (u, t, _) in enumerate(RESOLVED)], "i int, url string, target string")
+    got = frame.select("i", urls.address_of(urls.absolute(frame["target"], frame["url"])).alias("a")).collect()
+    assert [(RESOLVED[r["i"]], r["a"]) for r in got if r["a"] != RESOLVED[r["i"]][2]] == []
+
+
+def test_aliases_by_every_form_of_link(spark):
+    """A page is an alias of a blocked address, whatever way its link is written."""
+    link = '<link rel="canonical" href="{}">'
+    forms = [
+        ("http://b.net/p", None), ("http://a.com/p", link.format("//b.net/p")), ("http://c.com/p/q", link.format("../d")),
+        ("http://c.com/d", link.format("http://b.net/x/../p")), ("http://e.com/p", link.format("?id=3")),
+        ("http://e.com/p?id=3", link.format("http://a.com/p#top")), ("http://h.com", link.format("http://b.net/p")),
+        ("http://k.com/x", link.format("http://h.com/")), ("http://free.com/p", link.format("#here")),
+        ("http://mail.com/p", link.format("mailto:a@b.net")),
+    ]
+    rules = spark.createDataFrame([("net/", "block")], "rule string, verdict string")
+    frame = spark.createDataFrame([(i, *f) for i, f in enumerate(forms)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(frame, rules).collect()}
+    assert got == {i: "allow" if i >= 8 else "block" for i in range(10)}
+
+
 def test_aliases(spark):
     link = '<LINK href="{}" rel="canonical">'
     hop = "<meta http-equiv='refresh' content='0; url={}'>"
