@@ -33,8 +33,17 @@ n AS (
     CAST(CAST('0x' || substr(md5('mix:' || coalesce('=' || d.source, '')), 1, 8) AS BIGINT) AS DOUBLE)
       / 4294967296 AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+j AS (
+  SELECT n.*, j, (u + CAST(j AS DOUBLE) / 32) - floor(u + CAST(j AS DOUBLE) / 32) AS v
+  FROM n CROSS JOIN (SELECT unnest(range(32)) AS j)),
+e AS (
+  SELECT source, j, any_value(v) AS v, abs(any_value(target) - sum(
+    (CAST(floor(i * rate + v) AS BIGINT) - CAST(floor((i - 1) * rate + v) AS BIGINT)) * size)) AS apart
+  FROM j GROUP BY source, j),
+b AS (SELECT source, v FROM e QUALIFY row_number() OVER (PARTITION BY source ORDER BY apart, j) = 1),
 c AS (
-  SELECT *, CAST(floor(i * rate + u) AS BIGINT) - CAST(floor((i - 1) * rate + u) AS BIGINT) AS copies FROM n)
+  SELECT n.*, CAST(floor(i * rate + v) AS BIGINT) - CAST(floor((i - 1) * rate + v) AS BIGINT) AS copies
+  FROM n JOIN b ON n.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c
 """
 

@@ -120,7 +120,7 @@ def benchmark_hits(text, items, window=10):
     return len(w), len(hit), sorted(ids)
 
 
-def mix(rows, seed="mix", weights=(5, 2, 1), volume=1.5, most=2):
+def mix(rows, seed="mix", weights=(5, 2, 1), volume=1.5, most=2, offsets=32):
     """(doc_id, size, source_size, target, copies) of (doc_id, text, source) rows."""
     import math
 
@@ -144,7 +144,9 @@ def mix(rows, seed="mix", weights=(5, 2, 1), volume=1.5, most=2):
         name = f"{seed}:" + ("" if s is None else f"={s}")
         u = int(hashlib.md5(name.encode()).hexdigest()[:8], 16) / 2**32
         own = sorted((r for r in sized if r[2] == s), key=lambda r: (-r[1], r[0] is None, r[0] or 0))
-        for k, (i, n, _) in enumerate(own):
-            copies = math.floor((k + 1) * rate + u) - math.floor(k * rate + u)
-            found.append((i, n, total[s], target, copies))
+        tried = [math.modf(u + j / offsets)[0] for j in range(offsets)]
+        taken = lambda v, k: math.floor((k + 1) * rate + v) - math.floor(k * rate + v)
+        apart = [abs(target - sum(taken(v, k) * n for k, (_, n, _) in enumerate(own))) for v in tried]
+        best = tried[apart.index(min(apart))]
+        found += [(i, n, total[s], target, taken(best, k)) for k, (i, n, _) in enumerate(own)]
     return found
