@@ -112,7 +112,7 @@ def suffix_array(data: bytes, depth: int) -> tuple[np.ndarray, np.ndarray, np.nd
     rank of the position ``h`` further on, with ``h`` doubled each time.
     """
     n, words = len(data), words_at(data)
-    order = np.argsort(words, kind="stable")
+    order = np.argsort(words)
     new = np.empty(n, bool)
     new[:1] = True
     ordered = words[order]
@@ -130,7 +130,7 @@ def suffix_array(data: bytes, depth: int) -> tuple[np.ndarray, np.ndarray, np.nd
             break
         own = order[slots]
         key = (rank[own].astype(np.uint64) << np.uint64(32)) | (rank[own + h] + 1).astype(np.uint64)
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         order[slots] = own[by]
         key = key[by]
         split = np.empty(len(key), bool)
@@ -140,6 +140,12 @@ def suffix_array(data: bytes, depth: int) -> tuple[np.ndarray, np.ndarray, np.nd
         # a group keeps its slots; the rank of a member is the first slot of its new group
         rank[order[slots]] = np.maximum.accumulate(np.where(split, slots, 0))
         h *= 2
+    # equals stand in order of the text, so that walks along copies keep step
+    alone = new.copy()
+    alone[:-1] &= new[1:]
+    slots = np.flatnonzero(~alone)
+    own = order[slots]
+    order[slots] = own[np.argsort((rank[own] << 32) | own)]
     return order, rank[:n], words
 
 
@@ -215,24 +221,58 @@ def shard_classes(data: bytes, valid: np.ndarray, length: int) -> tuple[np.ndarr
 
 _RNG = np.random.default_rng(400)
 _BYTES = _RNG.integers(0, 2**64, (2, 256), dtype=np.uint64)
-_BASE = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x5851F42D4C957F2D))
+_BASE = (0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
+_BLOCK = 1 << 16
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 to base ** (n - 1) modulo 2**64; kept, since blocks of one size need the same."""
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        steps = np.full(n, np.uint64(base))
+        steps[0] = 1
+        known = _POWERS[base] = np.cumprod(steps)
+    return known[:n]
 
 
 def string_prints(data: bytes, starts: np.ndarray, length: int) -> np.ndarray:
-    """Two 64-bit numbers per start that follow from its ``length`` bytes.
+    """Two 64-bit numbers per start, in ascending order, that follow from its ``length`` bytes.
 
     A polynomial over a random number per byte value, modulo 2**64; strings of
-    this length are far too short for the known clashes of that modulus.
+    this length are far too short for the known clashes of that modulus. The bytes
+    are taken a block at a time.
     """
-    raw = np.frombuffer(data, np.uint8)
-    found = []
-    for table, base in zip(_BYTES, _BASE):
-        inverse = np.uint64(pow(int(base), -1, 2**64))
-        up = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(raw), base))))
-        down = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(raw), inverse))))
-        sums = np.concatenate(([np.uint64(0)], np.cumsum(table[raw] * up[:-1])))
-        found.append((sums[starts + length] - sums[starts]) * down[starts])
-    return np.stack(found, axis=1)
+    raw, found = np.frombuffer(data, np.uint8), np.empty((len(starts), 2), np.uint64)
+    for at in range(0, len(raw), _BLOCK):
+        own = slice(*np.searchsorted(starts, (at, at + _BLOCK)))
+        first, part = starts[own] - at, raw[at : at + _BLOCK + length]
+        if not len(first):
+            continue
+        for i, (table, base) in enumerate(zip(_BYTES, _BASE)):
+            down = _powers(pow(base, -1, 2**64), len(part))
+            sums = np.concatenate(([np.uint64(0)], np.cumsum(table[part] * _powers(base, len(part)))))
+            found[own, i] = (sums[first + length] - sums[first]) * down[first]
+    return found
+
+
+def found_twice(prints: np.ndarray) -> np.ndarray:
+    """For every string: does its fingerprint take up two places among the sorted ones?
+
+    Strings are looked up in order of their first number, so that each binary
+    search goes on where the last one ended; strings whose first numbers alone
+    are equal are told apart by the second.
+    """
+    by = np.argsort(prints[:, 0])
+    high, low = prints[by, 0], prints[by, 1]
+    first, last = np.searchsorted(high, high, "left"), np.searchsorted(high, high, "right")
+    again = last - first > 1
+    mixed = np.unique(high[again & (low != low[first])])
+    for place in np.flatnonzero(np.isin(high, mixed)) if len(mixed) else ():
+        again[place] = (low[first[place] : last[place]] == low[place]).sum() > 1
+    found = np.empty(len(again), bool)
+    found[by] = again
+    return found
 
 
 def runs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -441,15 +481,7 @@ def _merge(windows: DataFrame, length: int) -> DataFrame:
         of = np.repeat(np.arange(len(groups)), counts)
         inner = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
         prints = string_prints(data, offsets[of] + inner, length)
-        by = np.lexsort((prints[:, 1], prints[:, 0]))
-        high, low = prints[by, 0], prints[by, 1]
-        # every string is looked up among the sorted ones: it repeats if it takes up two places
-        first, last = np.searchsorted(high, prints[:, 0], "left"), np.searchsorted(high, prints[:, 0], "right")
-        again = last - first > 1
-        clash = high[:-1][(high[1:] == high[:-1]) & (low[1:] != low[:-1])]
-        for place in np.flatnonzero(np.isin(prints[:, 0], clash)) if len(clash) else ():
-            again[place] = (low[first[place] : last[place]] == prints[place, 1]).sum() > 1
-        hits = np.flatnonzero(again)
+        hits = np.flatnonzero(found_twice(prints))
         flat = hits + of[hits]  # a gap between windows
         starts, ends = runs(flat)
         rows = []
@@ -481,17 +513,21 @@ def _merge(windows: DataFrame, length: int) -> DataFrame:
 
 def repeated_starts(documents: DataFrame, length: int = LENGTH, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(key, spans) with the runs of repeated starts of a text, and (key, text)
-    of the texts they lie in; texts may come several times."""
+    of the texts they lie in, each once."""
     if length < 2 * GRAM:
         raise ValueError("strings must be longer than two anchors")
     marks = stored(_anchor_rows(documents, length))
     often = stored(marks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1))
+    # a text that several tasks have met has its anchors several times, all the same: one set and one text are kept
     wanted = (
         marks.join(often, "hash").groupBy("key")
-        .agg(F.collect_list(F.struct("pos", "hash", "n")).alias("anchors"))
+        .agg(F.collect_set(F.struct("pos", "hash", "n")).alias("anchors"))
     )
     texts = documents.filter(F.octet_length("text") >= length).select(text_key(F.col("text")).alias("key"), "text")
-    candidates = stored(_once(texts).join(wanted, "key").select("key", "text", "anchors"))
+    candidates = stored(
+        _once(texts).join(wanted, "key").groupBy("key")
+        .agg(F.any_value("text").alias("text"), F.any_value("anchors").alias("anchors"))
+    )
     found = stored(_shards(stored(_regions(candidates, length)), length, hot))
     own = found.filter(F.col("kind") == 0)
     across = _merge(found.filter(F.col("kind") == 1), length)

@@ -114,6 +114,79 @@ def test_repeated_bytes(spark, docs, hot, monkeypatch):
     assert Counter(map(tuple, found)) == want
 
 
+def test_fingerprints_follow_from_the_bytes(monkeypatch):
+    rng = np.random.default_rng(2)
+    text = bytes(rng.integers(0, 3, 3000).astype(np.uint8)) * 2
+    starts = np.sort(rng.choice(len(text) - 70, 900, replace=False))
+    whole = substrings.string_prints(text, starts, 70)
+    monkeypatch.setattr(substrings, "_BLOCK", 256)
+    monkeypatch.setattr(substrings, "_POWERS", {})
+    assert (substrings.string_prints(text, starts, 70) == whole).all()
+    of = {}
+    for s, p in zip(starts.tolist(), map(tuple, whole.tolist())):
+        assert of.setdefault(text[s : s + 70], p) == p
+    assert len(set(of.values())) == len(of)
+
+
+def test_fingerprints_met_twice():
+    rng = np.random.default_rng(1)
+    prints = rng.integers(0, 4, (500, 2)).astype(np.uint64) * np.uint64(2**62) + rng.integers(0, 9, (500, 2)).astype(np.uint64)
+    counts = Counter(map(tuple, prints.tolist()))
+    assert substrings.found_twice(prints).tolist() == [counts[tuple(p)] > 1 for p in prints.tolist()]
+    assert substrings.found_twice(prints[:0]).tolist() == []
+
+
+@pytest.mark.parametrize("text", [b"", b"a", b"a" * 3000, b"ab" * 900 + b"b" * 300, bytes(range(1, 256)) * 6, b"the cat the hat " * 60])
+def test_suffix_array_is_sorted(text):
+    """By all bytes up to the depth; equals in order of the text."""
+    if not text:
+        return
+    order, rank, words = substrings.suffix_array(text, 64)
+    padded = text + bytes(128)
+    want = sorted(range(len(text)), key=lambda i: (padded[i : i + 64], min(64, len(text) - i), i))
+    deep = 64
+    got = order.tolist()
+    assert sorted(got) == list(range(len(text)))
+    assert [text[i : i + deep] for i in got] == [text[i : i + deep] for i in want]
+    for a, b in zip(got, got[1:]):
+        if rank[a] == rank[b]:
+            assert a < b and text[a : a + deep] == text[b : b + deep]
+    shared = substrings.common_prefixes(order, rank, words, deep)
+    for a, b in zip(got, got[1:]):
+        x, y = text[a : a + deep], text[b : b + deep]
+        n = next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
+        assert min(shared[b], len(x), len(y)) == n
+
+
+def test_passages_about_the_length(spark):
+    """Passages of 50 to 70 words, some below and some above 400 bytes, in several documents."""
+    found = []
+    for i in range(24):
+        passage = data.prose(500 + i // 3, 50 + i // 3 * 3)
+        found.append((i, data.prose(900 + i, 40) + " " + passage + " " + data.prose(1900 + i, 30)))
+    sizes = [len(data.prose(500 + k, 50 + 3 * k).encode()) for k in range(8)]
+    assert min(sizes) < 400 < max(sizes)
+    want = Counter((i, len(t.encode()), *x) for (i, t), x in zip(found, brute.repeated_bytes([t for _, t in found])))
+    frame = spark.createDataFrame(found, "doc_id long, text string").repartition(9)
+    got = [tuple(r) for r in substrings.span_table(frame).drop("cuts").collect()]
+    assert Counter(got) == want
+    assert {i for i, _, n, *_ in got if n} == {i for i in range(24) if sizes[i // 3] >= 398}
+
+
+@pytest.mark.parametrize("partitions", [4, 64])
+def test_copies_over_many_partitions_cost_a_copy_each(spark, partitions):
+    """A text that every task has met is one candidate, with its anchors once."""
+    text, other = data.prose(77, 2000), data.prose(78, 700)
+    rows = [(i, text) for i in range(128)] + [(1000, other), (1001, text[3000:6000] + other[:800])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)
+    spans, texts = substrings.repeated_starts(frame)
+    kept = texts.collect()
+    assert len(kept) == len({r["key"] for r in kept}) == 3
+    got = {r["doc_id"]: tuple(r)[1:-1] for r in substrings.span_table(frame).collect()}
+    want = brute.repeated_bytes([t for _, t in rows])
+    assert got == {i: (len(t.encode()), *x) for (i, t), x in zip(rows, want)}
+
+
 def test_cut_repeats(docs):
     rows = given()
     cut = brute.cut_texts([t for _, t, *_ in rows])
