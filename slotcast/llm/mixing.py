@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotcast.llm.store import stored
+from slotcast.llm.store import settled, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -131,7 +131,11 @@ def with_copies(
 
 
 def mix(documents: DataFrame, seed: str = "mix", **how) -> DataFrame:
-    """The mix itself: a row of ``documents`` for each time it is taken."""
+    """The mix itself: a row of ``documents`` for each time it is taken.
+
+    It reads tables that are stored on the way; they live until the ``settled`` or
+    ``owned`` call around it ends.
+    """
     rows = documents.select(
         "doc_id", "source", word_count(F.col("text")).alias("size"), F.struct("*").alias("row")
     )
@@ -144,6 +148,6 @@ def mix_table(documents: DataFrame, seed: str = "mix", **how) -> DataFrame:
     """doc_id, size, source_size, target, taken and copies of every row."""
     rows = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     taken = (F.col("copies") * F.col("size")).alias("taken")
-    return with_copies(rows, seed, **how).select(
+    return settled(documents.sparkSession, lambda: with_copies(rows, seed, **how).select(
         "doc_id", "size", "source_size", "target", taken, "copies"
-    )
+    ))

@@ -9,7 +9,7 @@ labelled rows; only the trees and the weights, whose size is set by parameters,
 reach the driver.
 
 Defined results: a null or empty text has statistics of zero and is scored like
-any other; null ids and repeated rows are scored like any other row;
+any other, a very long one over its whole length; null ids and repeated rows are scored like any other row;
 contradictory labels of an id are left out; with labels of one class only, all
 texts get its share (1 or 0), without labels 0.5; an empty table gives an empty
 result; only doc_id and text are read.
@@ -25,7 +25,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotcast.llm.store import settled_labels, stored
+from slotcast.llm.store import owned, settled_labels, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 TREES, DEPTH = 8, 3
@@ -107,6 +107,11 @@ class RuleEnsemble:
 
 def fit(statistics: DataFrame, labels: DataFrame, column: str = "quality", seed: int = 5) -> RuleEnsemble:
     """The ensemble of the labelled rows of ``statistics`` (doc_id, s)."""
+    with owned(statistics.sparkSession):
+        return _fit(statistics, labels, column, seed)
+
+
+def _fit(statistics: DataFrame, labels: DataFrame, column: str, seed: int) -> RuleEnsemble:
     known = statistics.join(settled_labels(labels, column), "doc_id")
     rows = stored(known.select(F.col("label").cast("double").alias("label"), "s"))
     n, ones = rows.agg(F.count(F.lit(1)), F.sum("label")).first()
@@ -129,7 +134,8 @@ def fit(statistics: DataFrame, labels: DataFrame, column: str = "quality", seed:
 
 
 def statistics(documents: DataFrame) -> DataFrame:
-    """(doc_id, s) of every row, worked out once: fitting and scoring read the same table."""
+    """(doc_id, s) of every row, worked out once: fitting and scoring read the same
+    table, which lives until the ``settled`` or ``owned`` call around it ends."""
     return stored(with_statistics(documents, F.col("doc_id")).select("kept.doc_id", "s"))
 
 

@@ -9,7 +9,7 @@ from slotcast.llm import (
     chat, clusters, decontaminate, infill, language, mixing, quality, rules, simhash, sql, substrings, toxicity, urls,
     warc,
 )
-from slotcast.llm.store import fold
+from slotcast.llm.store import fold, settled
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -29,12 +29,15 @@ def op4_language(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
-    known, held_out = quality.statistics(table(spark, sf, "documents")), fold(F.col("doc_id"), 5) == 0
-    score = quality.fit(known.filter(~held_out), table(spark, sf, "labels")).expression()
-    return known.select(
-        "doc_id", held_out.alias("held_out"), score.alias("score"),
-        (score >= quality.THRESHOLD).cast("int").alias("predicted"),
-    )
+    def make() -> DataFrame:
+        known, held_out = quality.statistics(table(spark, sf, "documents")), fold(F.col("doc_id"), 5) == 0
+        score = quality.fit(known.filter(~held_out), table(spark, sf, "labels")).expression()
+        return known.select(
+            "doc_id", held_out.alias("held_out"), score.alias("score"),
+            (score >= quality.THRESHOLD).cast("int").alias("predicted"),
+        )
+
+    return settled(spark, make)
 
 
 def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,10 +3,12 @@
 import os
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from slotcast.llm import store
 from slotcast.llm.components import components
+from slotcast.llm.queries import QUERIES
 
 
 def tables(spark):
@@ -78,3 +80,31 @@ def test_star_of_a_third_of_all_vertices(spark):
     found = components(star.union(chain))
     sizes = {r[0]: r[1] for r in found.groupBy("component").count().collect()}
     assert sizes == {0: 3000, 10_000: 51}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_no_table_but_the_result_outlives_a_query(spark, name):
+    before = tables(spark)
+    rows = QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    assert rows and len(tables(spark) - before) <= 1
+
+
+def test_a_table_is_released(spark):
+    before = tables(spark)
+    store.release(store.stored(spark.range(4)))
+    assert tables(spark) == before
+
+
+def test_no_shared_folder_on_a_cluster():
+    """Neither is a machine-local folder taken instead, nor is the setting ignored."""
+    def session(master, **conf):
+        known = {"spark.sql.warehouse.dir": "file:/home/x/warehouse"} | conf
+        context = type("Context", (), {"master": master})
+        return type("Session", (), {"conf": known, "sparkContext": context})
+
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            store.shared_folder(session(master))
+    assert store.shared_folder(session("local[2]")) == "file:/home/x/warehouse/_llm"
+    assert store.shared_folder(session("yarn", **{"spark.checkpoint.dir": "hdfs:///c/"})) == "hdfs:///c"
+    assert store.shared_folder(session("yarn", **{"spark.sql.warehouse.dir": "s3a://b/w"})) == "s3a://b/w/_llm"
