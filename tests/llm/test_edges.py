@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from slotcast.llm import decontaminate, language, mixing, quality, rules, simhash, substrings, toxicity
+from slotcast.llm import decontaminate, language, mixing, quality, rules, simhash, store, substrings, toxicity
 from tests.llm import brute, data
 
 
@@ -212,6 +212,42 @@ def test_decontamination(spark, docs):
     assert len(none) == len(given()) and not any(r["contaminated"] for r in none)
 
 
+def test_words_of_all_characters(spark):
+    """Every ASCII character, and characters about the ends of what counts."""
+    odd = [chr(c) for c in range(128)] + ["\x80", "\xff", "é", "\ud7ff", "\ue000", "\uffff", "\U00010000", "\U0010ffff", "İ", "ẞ", "K"]
+    rows = [f"aB{c}Cd {c}{c} x" for c in odd]
+    frame = spark.createDataFrame([(t,) for t in rows], "text string")
+    contract = F.regexp_extract_all(
+        F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), 0)
+    count = F.regexp_count("text", F.lit(decontaminate.ANY_CASE))
+    for r in frame.select("text", decontaminate.words_of(F.col("text")).alias("w"), contract.alias("c"), count.alias("n")).collect():
+        assert r["w"] == r["c"] == brute.plain_words(r["text"]) and r["n"] == len(r["w"])
+
+
+def test_only_prefixes_are_joined(spark):
+    """Candidates are places of one shingle a window, far fewer than the places of all its shingles; a
+    passage that most texts hold is found in each."""
+    item = data.prose(1, 60)
+    hot = " ".join(item.split()[10:25])
+    docs = spark.createDataFrame(
+        [(i, data.prose(100 + i, 80) + (" " + hot if i % 3 else "") + " " + data.prose(500 + i, 20)) for i in range(300)],
+        "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, data.prose(2, 9)), (3, data.prose(3, 2))], "item_id long, text string")
+    with store.owned(spark):
+        windows = store.stored(decontaminate.item_windows(bench, 10)).select("wid", "words").distinct()
+        prefix = store.stored(decontaminate.prefixes(windows, 3, 3))
+        assert prefix.count() == windows.filter("size(words) >= 3").count() == 52
+        met = decontaminate.candidates(docs, prefix, 3, 10)
+        # all 13 shingles of the passage in up to 8 windows each would be over 90 candidates a text
+        assert met.count() <= 200 * 20 and met.filter("there = words").count() >= 200 * 6
+        looked = decontaminate._places(docs, 3, prefix.select("gram"), F.col("id")).count()
+        assert looked < 0.1 * docs.selectExpr("sum(size(split(text, ' ')))").first()[0]
+        found = decontaminate.hits(docs, bench).collect()
+    items = [tuple(r) for r in bench.collect()]
+    for r, (i, text) in zip(sorted(found), sorted(map(tuple, docs.collect()))):
+        assert (r["doc_id"], r["n_words"], r["n_hit"]) == (i, *brute.benchmark_hits(text, items)[:2])
+
+
 def passes(text, words, lines, n_symbols, n_dup_lines):
     """The threshold table, written out."""
     stop = {w for group in rules.STOP_WORDS for w in group.split()}
