@@ -147,7 +147,7 @@ def fit(documents: DataFrame) -> ByteNet | None:
     )
     if documents.filter(F.col("lang").isNotNull()).select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages to learn")
-    chosen = training_rows(documents, known, F.lit(MOST))
+    chosen = training_rows(documents, known, F.lit(MOST), MOST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -17,7 +17,8 @@ many documents have them.
 Defined results: a null or empty text has fingerprint zero, which links like any
 other; fewer words than a shingle make one shingle; the representative of a
 component is its smallest doc_id, null if it has none; repeated rows share a
-component; an empty table gives an empty result; other columns are not read.
+component; an empty table gives an empty result; texts of any length are hashed
+whole, some shingles at a time; other columns are not read.
 """
 
 from __future__ import annotations

@@ -98,24 +98,27 @@ def settled_labels(labels: DataFrame, column: str) -> DataFrame:
 
 
 # Parts that the documents of a label are dealt over where the first of them are chosen.
-PARTS = 256
+PARTS = 8
 
 
-def training_rows(documents: DataFrame, labelled: DataFrame, most: Column, parts: int = PARTS) -> DataFrame:
-    """(label, text) of the first ``most`` documents of each label in hash order of their ids.
+def training_rows(
+    documents: DataFrame, labelled: DataFrame, most: Column, limit: int, parts: int = PARTS
+) -> DataFrame:
+    """(label, text) of the first ``most`` documents of each label in hash order of
+    their ids; ``limit`` is the largest ``most``.
 
     ``labelled`` has one (doc_id, label) per document. Only ids are ranked, first
-    within parts of a label's ids by another hash, then among the first of each
-    part, so a task meets no more than ``parts`` times ``most`` ids of a label, whatever its
-    share of the table. Those chosen are at most ``most`` per label, so they are
-    small enough to broadcast.
+    within parts of a label's ids by another hash, of which a task passes on no more
+    than ``limit``, then among the first of each part, at most ``parts`` times
+    ``limit`` ids of a label, whatever its share of the table. Those chosen are at
+    most ``limit`` per label, so they are small enough to broadcast.
     """
     known = documents.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct().join(labelled, "doc_id")
     order = [F.xxhash64("doc_id"), "doc_id"]
     part = F.pmod(F.hash(F.lit("part"), "doc_id"), F.lit(parts)).alias("part")
     dealt = known.select("doc_id", "label", part)
     inner = F.row_number().over(Window.partitionBy("label", "part").orderBy(*order))
-    first = dealt.withColumn("place", inner).filter(F.col("place") <= most).drop("part", "place")
+    first = dealt.withColumn("place", inner).filter(F.col("place") <= limit).drop("part", "place")
     outer = F.row_number().over(Window.partitionBy("label").orderBy(*order))
     ids = first.withColumn("place", outer).filter(F.col("place") <= most).select("doc_id", "label")
     return (

@@ -183,7 +183,7 @@ def train(bags: list[list[bytes]], labels: np.ndarray, documents: np.ndarray, ro
 def _samples(documents: DataFrame, labels: DataFrame, column: str) -> list[tuple]:
     """(label, text of the window, document) of a bounded number of labelled documents."""
     most = F.when(F.col("label") == 1, MOST_TOXIC).otherwise(MOST_CLEAN)
-    picked = training_rows(documents, settled_labels(labels, column), most)
+    picked = training_rows(documents, settled_labels(labels, column), most, max(MOST_TOXIC, MOST_CLEAN))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

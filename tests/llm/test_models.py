@@ -192,6 +192,6 @@ def test_first_documents_of_a_label_whatever_the_parts(spark, parts):
     want = set()
     for label in (0, 1):
         own = sorted((r["h"], r["doc_id"]) for r in order if (r["doc_id"] % 50 == 0) == (label == 1))
-        want |= {(label, f"t{i}") for _, i in own[:40]}
-    got = store.training_rows(docs, labelled, F.lit(40), parts).collect()
-    assert {tuple(r) for r in got} == want and len(got) == 80
+        want |= {(label, f"t{i}") for _, i in own[: 30 if label else 40]}
+    got = store.training_rows(docs, labelled, F.when(F.col("label") == 1, 30).otherwise(40), 40, parts).collect()
+    assert {tuple(r) for r in got} == want and len(got) == 70

@@ -60,9 +60,9 @@ def test_labels_and_training_rows(spark):
     docs = spark.createDataFrame(
         [(1, "a"), (1, "a"), (4, "b"), (5, None), (6, "d"), (None, "e"), (7, "f")], "doc_id long, text string"
     )
-    rows = store.training_rows(docs, settled, F.lit(2)).collect()
+    rows = store.training_rows(docs, settled, F.lit(2), 2).collect()
     assert sorted(r["label"] for r in rows) == [0, 0, 1]
-    again = store.training_rows(docs.repartition(3), settled, F.lit(2)).collect()
+    again = store.training_rows(docs.repartition(3), settled, F.lit(2), 2).collect()
     assert sorted(map(repr, again)) == sorted(map(repr, rows))
 
 
