@@ -105,13 +105,11 @@ def with_copies(
     )
     rank = F.col("serial") - F.col("first") + F.col("skip") + 1
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    ranked = ranged.join(
-        blocks, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("at"))
-    ).withColumns({"rank": rank, "rate": rate}).drop("serial", "range", "at", "first", "skip")
+    at_block = F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("at"))
 
     def copies(u: Column) -> Column:
-        reached = lambda n: F.floor(n.cast("double") * F.col("rate") + u)
-        return reached(F.col("rank")) - reached(F.col("rank") - 1)
+        reached = lambda n: F.floor(n.cast("double") * rate + u)
+        return reached(rank) - reached(rank - 1)
 
     def turned(j: Column) -> Column:
         """The random offset, and so many steps on."""
@@ -120,13 +118,16 @@ def with_copies(
 
     sums = [F.sum(copies(turned(F.lit(j))) * F.col("size")) for j in range(OFFSETS)]
     apart = F.transform("sums", lambda t, j: F.struct(F.abs(t - F.col("goal")).alias("apart"), j.alias("j")))
+    # sizes and places alone are summed; the offset chosen goes to the few rows of ``blocks``
     chosen = (
-        ranked.groupBy("of").agg(F.array(*sums).alias("sums"), F.first("target").alias("goal"))
+        ranged.select("source", "range", "serial", "size").join(blocks, at_block)
+        .groupBy("of").agg(F.array(*sums).alias("sums"), F.first("target").alias("goal"))
         .select(F.col("of").alias("whose"), turned(F.array_min(apart)["j"]).alias("u"))
     )
+    placed = stored(blocks.join(chosen, F.col("of").eqNullSafe(F.col("whose"))).drop("whose"))
     return (
-        ranked.join(chosen, F.col("of").eqNullSafe(F.col("whose")))
-        .withColumn("copies", copies(F.col("u"))).drop("of", "rank", "rate", "whose", "u")
+        ranged.join(placed, at_block).withColumn("copies", copies(F.col("u")))
+        .drop("serial", "range", "of", "at", "first", "skip", "u")
     )
 
 
