@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import asdict, astuple, dataclass, fields, replace
 from multiprocessing.pool import ThreadPool
 
@@ -54,6 +55,10 @@ SQUARED = TreeParams()
 # idle between them; the jobs of another fit fill those gaps.
 AT_A_TIME = 5
 
+# Rows that are worth a task. Each level of each tree is a job of its own over all partitions of
+# the rows, so a small table in the many partitions of a shuffle costs its tasks, not its rows.
+ROWS_A_TASK = 20_000
+
 
 def side_by_side(spark: SparkSession, work: Callable, items: Sequence) -> list:
     """Results of ``work`` for each item, in order, a few at a time."""
@@ -69,6 +74,16 @@ def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return assembler.transform(df)
 
 
+@contextmanager
+def kept(rows: DataFrame) -> Iterator[DataFrame]:
+    """``rows`` kept while they are read again and again, in no more partitions than their number asks for."""
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield rows.coalesce(max(1, -(-rows.count() // ROWS_A_TASK)))
+    finally:
+        rows.unpersist()
+
+
 def squared_trees(params: TreeParams, target: str) -> GBTRegressor:
     settings = asdict(params) | {"featureSubsetStrategy": str(params.featureSubsetStrategy)}
     return GBTRegressor(
@@ -81,12 +96,10 @@ def fit_squared(
 ) -> dict[str, GBTRegressionModel]:
     """One squared-error model per target column."""
     spark = with_checkpoint_folder(train.sparkSession)
-    rows = assemble(train, features).select(VECTOR, *targets)
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    models = side_by_side(
-        spark, lambda t: squared_trees(params, t).fit(complete(rows, [t])), targets
-    )
-    rows.unpersist()
+    with kept(assemble(train, features).select(VECTOR, *targets)) as rows:
+        models = side_by_side(
+            spark, lambda t: squared_trees(params, t).fit(complete(rows, [t])), targets
+        )
     return dict(zip(targets, models))
 
 
@@ -151,16 +164,14 @@ def forecast_counts(
     each other.
     """
     targets = [ahead(h) for h in horizons]
-    rows = assemble(train, features).select(VECTOR, *targets)
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    models = side_by_side(
-        train.sparkSession,
-        lambda t: GeneralizedLinearRegression(
-            featuresCol=VECTOR, labelCol=t, family="poisson", link="log", tol=1e-12, maxIter=50
-        ).fit(complete(rows, [t])),
-        targets,
-    )
-    rows.unpersist()
+    with kept(assemble(train, features).select(VECTOR, *targets)) as rows:
+        models = side_by_side(
+            train.sparkSession,
+            lambda t: GeneralizedLinearRegression(
+                featuresCol=VECTOR, labelCol=t, family="poisson", link="log", tol=1e-12, maxIter=50
+            ).fit(complete(rows, [t])),
+            targets,
+        )
     out = assemble(test, features)
     for h, model in zip(horizons, models):
         out = model.setPredictionCol(predicted(h, method)).transform(out)
@@ -256,17 +267,15 @@ def search(
     forecasts of the validation rows at each candidate's best number of trees."""
     columns = (VECTOR, target)
     spark = with_checkpoint_folder(train.sparkSession)
-    fit_rows = assemble(complete(train, [target]), features).select(*columns)
-    check = assemble(complete(validation, [target]), features).select(*columns)
-    fit_rows = fit_rows.persist(StorageLevel.MEMORY_AND_DISK)
-    check = check.persist(StorageLevel.MEMORY_AND_DISK)
-    tried = side_by_side(
-        spark,
-        lambda drawn: staged(fit_rows, check, target, replace(base, **drawn), patience),
-        draws(candidates, seed, space),
-    )
-    fit_rows.unpersist()
-    check.unpersist()
+    with (
+        kept(assemble(complete(train, [target]), features).select(*columns)) as fit_rows,
+        kept(assemble(complete(validation, [target]), features).select(*columns)) as check,
+    ):
+        tried = side_by_side(
+            spark,
+            lambda drawn: staged(fit_rows, check, target, replace(base, **drawn), patience),
+            draws(candidates, seed, space),
+        )
     return sorted(tried, key=lambda c: (c.mae, astuple(c.params)))
 
 
