@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
+from queries import QUERIES
 from slotcast.grid import DAILY
 from slotcast.operators import trees
-from slotcast.operators.trees import TreeParams
+from slotcast.operators.trees import Candidate, TreeParams
 from slotcast.plans import benchmarks
+from tests.test_oracle import SF
 
 
 def test_partitions_follow_rows(spark):
@@ -36,3 +39,21 @@ def test_year_backtest_works_its_panel_out_once(spark):
     )
     assert len(tried) == 2 and figures.first()["mae"] > 0
     assert made.value == len(rows)
+
+
+def test_year_backtest_query_searches_as_published(spark, monkeypatch):
+    """Ten candidates of up to 3,000 trees, each looked at until 100 trees bring nothing; fits stand in."""
+    asked = []
+
+    def staged(fit_rows, check, target, params, patience):
+        asked.append((params.maxIter, patience, fit_rows.count(), check.count()))
+        return Candidate(replace(params, maxIter=1), params.stepSize, 1)
+
+    monkeypatch.setattr(trees, "staged", staged)
+    found = QUERIES["year_backtest"](spark, SF).orderBy("place").collect()
+    assert len(asked) == len(found) == 10 and [r["place"] for r in found] == list(range(1, 11))
+    assert {a[:2] for a in asked} == {(3000, 100)}
+    inputs = QUERIES["backtest_inputs"](spark, SF)
+    whole = tuple(inputs.filter(f"date >= '{a}' AND date < '{b}'").count() for a, b in ((1995, 1998), (1998, 1999)))
+    assert min(whole) > 0 and {a[2:] for a in asked} == {whole}
+    assert found[0]["test_mae"] > 0 and all(r["test_mae"] is None for r in found[1:])
