@@ -228,15 +228,16 @@ def clipped_error(model: GBTRegressionModel, check: DataFrame, target: str) -> f
 def staged(
     fit_rows: DataFrame, check: DataFrame, target: str, params: TreeParams, patience: int
 ) -> Candidate:
-    """Fits ``patience`` trees, then twice as many and so on up to
-    ``params.maxIter``, and stops when the best round lies ``patience`` back.
+    """Fits twice ``patience`` trees, as ``patience`` of them never tell enough, then
+    twice as many and so on up to ``params.maxIter``, and stops when the best round
+    lies ``patience`` back.
 
     The round is that of the lowest error before clipping, the candidate's error
     that of the model cut there, after clipping. Fits with one seed share their
     leading trees, so the answer is that of the full fit, for less than five times
     the trees up to the stop.
     """
-    trees, fitted = min(params.maxIter, max(1, patience)), 0
+    trees, fitted = min(params.maxIter, max(1, 2 * patience)), 0
     while True:
         model = squared_trees(replace(params, maxIter=trees), target).fit(fit_rows)
         fitted += trees

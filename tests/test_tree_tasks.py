@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import replace
 
+from pyspark.sql import functions as F
+
 from queries import QUERIES
 from slotcast.grid import DAILY
 from slotcast.operators import trees
@@ -57,3 +59,13 @@ def test_year_backtest_query_searches_as_published(spark, monkeypatch):
     whole = tuple(inputs.filter(f"date >= '{a}' AND date < '{b}'").count() for a, b in ((1995, 1998), (1998, 1999)))
     assert min(whole) > 0 and {a[2:] for a in asked} == {whole}
     assert found[0]["test_mae"] > 0 and all(r["test_mae"] is None for r in found[1:])
+
+
+def test_no_fit_is_too_short_to_end_a_search(spark):
+    """Where more trees only do harm, the search ends with its first fit and the cut model."""
+    data = [(float(i % 13), float(i % 13)) for i in range(260)]
+    frame = trees.assemble(spark.createDataFrame(data, "x double, y double"), ["x"])
+    check = frame.withColumn("y", F.lit(6.0))
+    params = TreeParams(maxIter=50, stepSize=0.5, maxDepth=1, subsamplingRate=1.0, featureSubsetStrategy=1.0)
+    found = trees.staged(frame, check, "y", params, 3)
+    assert found.params.maxIter <= 3 and found.fitted == 6 + found.params.maxIter
